@@ -179,9 +179,9 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
             s = np.sort(whole[a : b - k + 1])
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
         elif b > a:
-            s = np.uint64(b - a) * np.ones(1, np.uint64)
+            s = np.full(1, b - a, np.uint64)
             for j in range(b - a):
-                s = s + h[a + j] * mult[j]
+                s = s + h[a + j : a + j + 1] * mult[j]
             out.append(mix(s ^ np.uint64(0x5851F42D4C957F2D)))
         else:
             out.append(np.zeros(0, np.uint64))

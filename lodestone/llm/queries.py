@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import hilbert, urls, winnow, wordpiece
+from . import hilbert, jaccard, urls, winnow, wordpiece
 
 QUERIES = {
     "op4_winnowing": winnow.op4_winnowing,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op7_url_filter": urls.op7_url_filter,
     "op9_hilbert_sharding": hilbert.op9_hilbert_sharding,
     "op10_token_counts": wordpiece.op10_token_counts,
