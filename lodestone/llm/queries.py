@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import hilbert, jaccard, urls, winnow, wordpiece
+from . import decontaminate, hilbert, jaccard, urls, winnow, wordpiece
 
 QUERIES = {
     "op4_winnowing": winnow.op4_winnowing,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op7_url_filter": urls.op7_url_filter,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_hilbert_sharding": hilbert.op9_hilbert_sharding,
     "op10_token_counts": wordpiece.op10_token_counts,
 }
