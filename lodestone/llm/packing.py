@@ -18,7 +18,7 @@ from .common import SPACED, Tables, chunks, small_batches, text_buffers, word_bo
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END_ID = 4096, 1
 #: The program's size classes, its rounds and its step: all independent of the input.
-CLASSES, ROUNDS, STEP = 128, 3000, 0.05
+CLASSES, ROUNDS, STEP = 128, 1000, 0.05
 #: Words whose ids a worker keeps; the store is emptied when it is full.
 KEPT_WORDS = 1 << 20
 
@@ -161,7 +161,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[i
     """(times, lengths) for all pieces of a length histogram: each entry is so many equal sequences.
 
     The rounded-down program comes first, its slots filled with the longest pieces of their
-    classes; what is left goes where it fits best, in the room left there or in new sequences.
+    classes and the last of them with the longest that fit; what is left goes where it fits best, in the room left there or in new sequences.
     """
     width = -(-capacity // CLASSES)
     left = counts.astype(np.int64).copy()
@@ -191,6 +191,17 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[i
                 lengths.append(pick)
             if len(lengths) < len(slots):
                 break
+            # The smallest slot takes the longest piece that fits, and so on while one fits.
+            use[lengths.pop()] -= 1
+            room = capacity - sum(lengths)
+            for y in np.flatnonzero(left[: room + 1])[::-1].tolist():
+                while y <= room and left[y] > use[y]:
+                    use[y] += 1
+                    lengths.append(y)
+                    room -= y
+                if room < y and not left[: room + 1].any():
+                    break
+            use = {y: k for y, k in use.items() if k}
             n = min(times, min(int(left[y]) // k for y, k in use.items()))
             for y, k in use.items():
                 left[y] -= n * k

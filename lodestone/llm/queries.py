@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hilbert, jaccard, urls, winnow, wordpiece
+from . import decontaminate, hilbert, jaccard, packing, urls, winnow, wordpiece
 
 QUERIES = {
     "op4_winnowing": winnow.op4_winnowing,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op6_config_lp_packing": packing.op6_config_lp_packing,
     "op7_url_filter": urls.op7_url_filter,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_hilbert_sharding": hilbert.op9_hilbert_sharding,
