@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hilbert, jaccard, packing, urls, winnow, wordpiece
+from . import decontaminate, hilbert, jaccard, langid, packing, urls, winnow, wordpiece
 
 QUERIES = {
+    "op1_crf_langid": langid.op1_crf_langid,
     "op4_winnowing": winnow.op4_winnowing,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_config_lp_packing": packing.op6_config_lp_packing,
