@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hilbert, jaccard, langid, packing, urls, winnow, wordpiece
+from . import decontaminate, hilbert, jaccard, langid, mainpage, packing, secrets, urls, winnow, wordpiece
 
 QUERIES = {
     "op1_crf_langid": langid.op1_crf_langid,
+    "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_main_text": mainpage.op3_main_text,
     "op4_winnowing": winnow.op4_winnowing,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_config_lp_packing": packing.op6_config_lp_packing,
