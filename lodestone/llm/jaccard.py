@@ -2,15 +2,16 @@
 
 The plan, with no pair of documents emitted that isn't needed:
 
-1. One pass over the texts gives each document its set's size and digest. Equal sets are
-   one class from here on. The same pass counts, for a fixed slice of the shingle
-   space, in how many documents each shingle is.
-2. A second pass writes each class's prefix (rarest shingles first) as index entries
-   with a parity sketch of the set. The entries of one shingle are sorted by set size
-   and position; blocks beyond the size bound are skipped by binary search, entries by
-   position and sketch. What is left is a graph of possible links; of each list only a
-   spanning forest leaves the task. All its filters are safe, so linked sets always
-   share a component of this graph: a relation group.
+1. One pass over the texts gives each document its set's size, digest and parity sketch.
+   Equal sets are one class from here on. The same pass counts, for a fixed slice of
+   the shingle space, in how many documents each shingle is.
+2. A second pass writes each class's prefix (rarest shingles first) as index entries.
+   The entries of one shingle are sorted by set size and position; blocks beyond the
+   size bound are skipped by binary search. Entries that have a partner within their
+   bounds get their set's sketch, whose width follows the set's size, and go through
+   the lists again: position and sketch leave a graph of possible links, and of each
+   list only a spanning forest of it leaves the task. All filters are safe, so linked
+   sets always share a component of this graph: a relation group.
 3. A third pass brings the whole sets of those classes, by relation group. In a group the
    overlaps of a set with all others are derived from the computed overlaps of a highly
    similar set by the lists of the shingles in which the two differ. Every link is
@@ -40,7 +41,7 @@ LIST_BLOCK, GROUP_BLOCK = 20_000, 4_000_000
 RUN = 4_000_000
 #: Bits of the filter that says which classes' sets are needed; its size never grows.
 FILTER_BITS = 1 << 26
-#: Bits of a set's parity sketch.
+#: Least bits of a set's parity sketch.
 SKETCH = 256
 #: Answer vectors kept to derive others from.
 PIVOTS = 8
@@ -71,11 +72,11 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def first_pass(docs: DataFrame, k: int, percent: int, ranges: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, cid) of each document, and (range, slots, counts) runs."""
+    """Rows of two kinds: (doc_id, n, cid, sketch) of each document, and (range, slots, counts) runs."""
     share, shift = np.uint64(counted_share(percent)), np.uint32(32 - ranges.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, gathered, held = ["doc_id", "n", "cid", "range", "slots", "counts"], [], 0
+        names, gathered, held = ["doc_id", "n", "cid", "sketch", "range", "slots", "counts"], [], 0
 
         def counts() -> pa.RecordBatch:
             slots, number = np.unique(np.concatenate(gathered), return_counts=True)
@@ -84,15 +85,16 @@ def first_pass(docs: DataFrame, k: int, percent: int, ranges: int) -> DataFrame:
             rows = [(r, _pack(slots[a:b]), number[a:b].astype("<u4").tobytes() if number[a:b].max() > 1 else None) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
             rows = [(r, s, None if c is None else zstandard.ZstdCompressor(level=1).compress(c)) for r, s, c in rows]
             none = pa.nulls(len(rows))
-            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names)
+            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names)
 
         for b in batches:
             data, off = text_buffers(b.column(1))
-            sizes, digests = [], []
+            sizes, digests, sketches = [], [], []
             for _, _, part, at in chunks(data, off):
                 sets = shingle_sets(part, at, k)
                 sizes += [len(s) for s in sets]
                 digests += [digest(s) if len(s) else None for s in sets]
+                sketches += [sketch(s, percent) if may_link(len(s), percent) else None for s in sets]
                 all_ = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 gathered.append((all_[(all_ & np.uint64(0xFFFF)) < share] >> np.uint64(32)).astype(np.uint32))
                 held += len(gathered[-1])
@@ -100,11 +102,11 @@ def first_pass(docs: DataFrame, k: int, percent: int, ranges: int) -> DataFrame:
                     yield counts()
                     gathered, held = [], 0
             none = pa.nulls(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())], names)
         if held:
             yield counts()
 
-    return docs.mapInArrow(run, "doc_id long, n int, cid binary, range int, slots binary, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n int, cid binary, sketch binary, range int, slots binary, counts binary")
 
 
 def heavy_slots(runs: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
@@ -139,12 +141,30 @@ def heavy_slots(runs: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray
     return got.slot.to_numpy().astype(np.uint32), got.df.to_numpy().astype(np.int64)
 
 
-def sketch(s: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((s >> np.uint64(16)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+def may_link(n: int, percent: int) -> bool:
+    """Whether a set of n can link with any set but its equals."""
+    return n > 0 and (n * 100 >= percent * (n + 1) or need(n, percent) < n)
+
+
+def sketch(s: np.ndarray, percent: int) -> bytes:
+    """Parities of the set's members by hash, in enough bits to tell unrelated sets of its size apart.
+
+    The width is a power of two, so a wider sketch folds into a narrower one.
+    """
+    width = SKETCH
+    while width * 30 < len(s) * (100 - percent):
+        width *= 2
+    bits = (s >> np.uint64(16)).astype(np.int64) & (width - 1)
+    return np.packbits((np.bincount(bits, minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """A sketch as 64-bit words, folded to so many words."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), 0)
 
 
 def index_entries(docs: DataFrame, k: int, percent: int, heavy) -> DataFrame:
-    """(token, block, side, n, pos, cid, sketch) for the prefix of every class's set.
+    """(token, block, side, n, pos, id) for the prefix of every class's set; id: the digest's first half.
 
     Sets that link only with their equals have none. A class is written once by each
     task at least; the index drops what repeats.
@@ -157,9 +177,8 @@ def index_entries(docs: DataFrame, k: int, percent: int, heavy) -> DataFrame:
         for b in batches:
             data, off = text_buffers(b.column(0))
             for _, _, part, at in chunks(data, off):
-                cols: list[list] = [[] for _ in range(4)]
                 meta: list[tuple] = []
-                sets = [s for s in shingle_sets(part, at, k) if len(s) * 100 >= percent * (len(s) + 1) or need(len(s), percent) < len(s)]
+                sets = [s for s in shingle_sets(part, at, k) if may_link(len(s), percent)]
                 for s in sets:
                     cid = digest(s)
                     if cid in seen:
@@ -182,7 +201,7 @@ def index_entries(docs: DataFrame, k: int, percent: int, heavy) -> DataFrame:
                     df[hot] = dfs[at_[hot]]
                     key[hot] = np.uint64(1 << 62) | np.minimum(df[hot], (1 << 29) - 1).astype(np.uint64) << np.uint64(32) | slot[hot].astype(np.uint64)
                 lo = 0
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in range(6)]
                 for s, cid in meta:
                     n = len(s)
                     p = n - need(n, percent) + 1
@@ -190,7 +209,6 @@ def index_entries(docs: DataFrame, k: int, percent: int, heavy) -> DataFrame:
                     pick = np.argsort(mine, kind="stable")[:p] if n > 1 else np.zeros(1, np.int64)
                     tokens, many = s[pick].view(np.int64), -(-df[lo : lo + n][pick] // LIST_BLOCK)
                     lo += n
-                    bits = sketch(s)
                     wide = np.flatnonzero(many > 1)
                     block, side, pos = np.zeros(p, np.int32), np.zeros(p, np.int32), np.arange(p, dtype=np.int32)
                     if len(wide):  # a long list: this entry goes to all pairs of blocks that hold its own
@@ -201,44 +219,47 @@ def index_entries(docs: DataFrame, k: int, percent: int, heavy) -> DataFrame:
                             own, others = int.from_bytes(cid[8:12], "little") % m, np.arange(m)
                             parts.append((np.full(m, tokens[w]), (np.minimum(own, others) * m + np.maximum(own, others) + 1).astype(np.int32), np.full(m, own, np.int32), np.full(m, pos[w])))
                         tokens, block, side, pos = (np.concatenate(x) for x in zip(*parts))
-                    for c, v in zip(out, (tokens, block, side, np.full(len(tokens), n, np.int32), pos)):
+                    for c, v in zip(out, (tokens, block, side, np.full(len(tokens), n, np.int32), pos, np.full(len(tokens), int.from_bytes(cid[:8], "big", signed=True)))):
                         c.append(v)
-                    out[5] += [cid] * len(tokens)
-                    out[6] += [bits] * len(tokens)
-                arrays = [pa.array(np.concatenate(c)) for c in out[:5]] + [pa.array(c, pa.binary()) for c in out[5:]]
-                yield pa.RecordBatch.from_arrays(arrays, ["token", "block", "side", "n", "pos", "cid", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["token", "block", "side", "n", "pos", "id"])
 
-    return docs.select("text").mapInArrow(run, "token long, block int, side int, n int, pos int, cid binary, sketch binary")
+    return docs.select("text").mapInArrow(run, "token long, block int, side int, n int, pos int, id long")
 
 
-def _fixed(col: pa.Array, width: int) -> np.ndarray:
-    """A binary column of one width as a byte matrix."""
-    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    if not len(col):
-        return np.zeros((0, width), np.uint8)
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, width)
+def by_position(n_i, n_j, pos_i, pos_j, percent: int) -> np.ndarray:
+    """Whether sets that share the shingle at these positions can overlap enough."""
+    least = -(-(n_i + n_j) * percent // (100 + percent))
+    return np.minimum(pos_i, pos_j) + np.minimum(n_i - pos_i, n_j - pos_j) >= least
 
 
-def possible(n_i, n_j, pos_i, pos_j, x_i, x_j, percent: int) -> np.ndarray:
-    """Whether sets may link: overlap bound by positions, then symmetric difference by sketches."""
+def by_sketch(n_i, n_j, x_i: np.ndarray, x_j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches of one width allow the symmetric difference that a link allows."""
     both = n_i + n_j
-    least = -(-both * percent // (100 + percent))
-    ok = np.minimum(pos_i, pos_j) + 1 + np.minimum(n_i - pos_i, n_j - pos_j) - 1 >= least
-    return ok & (np.bitwise_count(x_i ^ x_j).sum(-1, dtype=np.int64) <= both - 2 * least)
+    return np.bitwise_count(x_i ^ x_j).sum(-1, dtype=np.int64) <= both - 2 * -(-both * percent // (100 + percent))
 
 
-def list_forest(n: np.ndarray, pos: np.ndarray, bits: np.ndarray, side: np.ndarray, cross: bool, percent: int) -> list[tuple[int, int]]:
+def list_forest(n: np.ndarray, pos: np.ndarray, bits: list[np.ndarray], side: np.ndarray, cross: bool, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the possible links of one list, sorted by size then position."""
     size, out = len(n), []
     label = np.arange(size)
     lows = np.searchsorted(n, -(-n * percent // 100))
+    # Widths grow with n, so the sketches of one width are one run.
+    width = np.array([len(x) for x in bits])
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(width)) + 1, [size]))
+    runs = [(int(a), int(z), np.stack(bits[a:z])) for a, z in zip(cuts[:-1], cuts[1:])]
     for i in range(1, size):
         lo = int(lows[i])
         if lo == i:
             continue
-        js = lo + np.flatnonzero(possible(n[i], n[lo:i], pos[i], pos[lo:i], bits[i], bits[lo:i], percent))
+        js = lo + np.flatnonzero(by_position(n[i], n[lo:i], pos[i], pos[lo:i], percent))
         if cross:
             js = js[side[js] != side[i]]
+        keep = [js[:0]]
+        for a, z, matrix in runs:
+            own = js[(js >= a) & (js < z)]
+            if len(own):
+                keep.append(own[by_sketch(n[i], n[own], fold(bits[i], matrix.shape[1]), matrix[own - a], percent)])
+        js = np.concatenate(keep)
         if len(js):
             roots, first = np.unique(label[js], return_index=True)
             out += [(int(js[f]), i) for f in first]
@@ -281,39 +302,51 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 16) -
         yield cut(True)
 
 
-def possible_links(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b) classes: a spanning forest of the possible links of every list."""
+def partnered(entries: DataFrame, percent: int) -> DataFrame:
+    """The entries that have another class within their bounds in their list, once for each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in grouped(batches, 2):
             sizes = np.diff(starts)
-            if not (sizes > 1).any():
-                continue
-            keep = np.repeat(sizes > 1, sizes)
-            table = table.filter(pa.array(keep))
-            sizes = sizes[sizes > 1]
-            starts = np.concatenate(([0], np.cumsum(sizes)))
-            block, side, n, pos = (table.column(c).to_numpy().astype(np.int64) for c in (1, 2, 3, 4))
-            cid, bits = _fixed(table.column(5), 16), np.ascontiguousarray(_fixed(table.column(6), SKETCH // 8)).view(np.uint64)
-            name = np.ascontiguousarray(cid).view(np.uint64)
-            edges = []
+            n, pos, own = (table.column(c).to_numpy().astype(np.int64) for c in (3, 4, 5))
+            keep = np.zeros(table.num_rows, bool)
             two = starts[:-1][sizes == 2]
-            if len(two):
-                i, j = two, two + 1
-                ok = ((name[i] != name[j]).any(1)) & (n[i] * 100 >= n[j] * percent) & possible(n[i], n[j], pos[i], pos[j], bits[i], bits[j], percent)
-                edges += list(zip(i[ok].tolist(), j[ok].tolist()))
+            ok = (own[two] != own[two + 1]) & (n[two] * 100 >= n[two + 1] * percent) & by_position(n[two], n[two + 1], pos[two], pos[two + 1], percent)
+            keep[two[ok]] = keep[two[ok] + 1] = True
             for s, e in zip(starts[:-1][sizes > 2].tolist(), starts[1:][sizes > 2].tolist()):
-                _, own = np.unique(name[s:e, 0] ^ name[s:e, 1] * np.uint64(3), return_index=True)
-                own = s + np.sort(own)
-                if len(own) > 1:
-                    b = int(block[s])
-                    cross = b > 0 and len(np.unique(side[own])) > 1
-                    edges += [(int(own[x]), int(own[y])) for x, y in list_forest(n[own], pos[own], bits[own], side[own], cross, percent)]
+                _, once = np.unique(own[s:e], return_index=True)
+                once = s + np.sort(once)
+                m = n[once]
+                others = np.searchsorted(m, m * 100 // percent, "right") - np.searchsorted(m, -(-m * percent // 100))
+                if len(once) <= 64:
+                    pairs = by_position(m[:, None], m[None, :], pos[once][:, None], pos[once][None, :], percent) & (np.minimum(m[:, None], m[None, :]) * 100 >= np.maximum(m[:, None], m[None, :]) * percent)
+                    others = pairs.sum(1)
+                keep[once[others > 1]] = True
+            if keep.any():
+                yield from table.filter(pa.array(keep)).to_batches()
+
+    dealt = entries.repartition("token", "block").sortWithinPartitions("token", "block", "n", "pos", "id")
+    return dealt.mapInArrow(run, entries.schema)
+
+
+def possible_links(entries: DataFrame, percent: int) -> DataFrame:
+    """From (token, block, side, n, pos, cid, sketch): (a, b) classes, a spanning forest of the possible links of every list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in grouped(batches, 2, 1 << 14):
+            block, side, n, pos = (table.column(c).to_numpy().astype(np.int64) for c in (1, 2, 3, 4))
+            cid, blobs = table.column(5).to_pylist(), table.column(6).to_pylist()
+            edges = []
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                own = list({cid[x]: x for x in range(e - 1, s - 1, -1)}.values())[::-1]
+                if len(own) < 2:
+                    continue
+                cross = block[s] > 0 and len(np.unique(side[own])) > 1
+                edges += [(cid[own[x]], cid[own[y]]) for x, y in list_forest(n[own], pos[own], [np.frombuffer(blobs[x], np.uint64) for x in own], side[own], cross, percent)]
             if edges:
-                names = [c.tobytes() for c in cid]
-                yield pa.RecordBatch.from_arrays([pa.array([names[x] for x, _ in edges], pa.binary()), pa.array([names[y] for _, y in edges], pa.binary())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.binary()), pa.array([y for _, y in edges], pa.binary())], ["a", "b"])
 
-    dealt = entries.repartition("token", "block").sortWithinPartitions("token", "block", "n", "pos")
+    dealt = entries.repartition("token", "block").sortWithinPartitions("token", "block", "n", "pos", "cid")
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
@@ -455,10 +488,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     first = tables.write(first_pass(docs, k, percent, ranges))
     heavy = spark.sparkContext.broadcast(heavy_slots(first.where("range is not null"), tables))
     rows = tables.write(first.where("range is null").select("doc_id", "n", "cid"))
+    alike = first.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("sketch").alias("sketch"))
+    classes = tables.write(alike)
     tables.drop(first)
-    classes = tables.write(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
 
-    forest = tables.write(possible_links(index_entries(docs, k, percent, heavy), percent))
+    alive = partnered(index_entries(docs, k, percent, heavy), percent)
+    half = F.conv(F.hex(F.substring("cid", 1, 8)), 16, -10).cast("long")
+    drawn = classes.where("sketch is not null").select(half.alias("id"), "cid", "sketch")
+    forest = tables.write(possible_links(alive.join(drawn, "id").select("token", "block", "side", "n", "pos", "cid", "sketch"), percent))
     nodes = tables.write(components(forest, tables))
     tables.drop(forest)
     bits = spark.sparkContext.broadcast(class_filter(nodes))
@@ -481,7 +518,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     named = tables.write(named.select("cid", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     tables.drop(links)
     out = rows.join(named, "cid", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
