@@ -72,6 +72,10 @@ class WordIds:
         return flat, before[np.searchsorted(starts, off)]
 
 
+#: A worker's tokenizer and words, which its next tasks use too.
+_tools: dict[str, WordIds] = {}
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, nth): every document's pieces.
 
@@ -81,7 +85,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, part, made = WordIds(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        tool = _tools.get(tokenizer_path) or _tools.setdefault(tokenizer_path, WordIds(tokenizer_path))
+        part, made = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             data, off = text_buffers(b.column(1))
             for lo, _, text, at in chunks(data, off):
