@@ -59,4 +59,6 @@ def labels(spark: SparkSession, n: int, kinds: int, how: str = "zipf", seed: int
 
 def payload_range(spark: SparkSession, low: int, high: int, width: int = 4) -> DataFrame:
     """(id, payload): ids of a range as little-endian bytes."""
-    return spark.range(low, high).select("id", F.reverse(F.unhex(F.lpad(F.hex("id"), 2 * width, "0"))).alias("payload"))
+    digits = F.lpad(F.hex("id"), 2 * width, "0")
+    pairs = [F.substring(digits, 2 * b + 1, 2) for b in reversed(range(width))]
+    return spark.range(low, high).select("id", F.unhex(F.concat(*pairs)).alias("payload"))
