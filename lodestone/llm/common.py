@@ -202,7 +202,7 @@ def components(edges: DataFrame, tables: Tables, max_rounds: int = 60) -> DataFr
     """
     now = tables.write(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(max_rounds):
+    for _ in range(0 if now.isEmpty() else max_rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b"), F.col("a")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

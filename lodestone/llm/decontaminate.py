@@ -313,3 +313,21 @@ def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     names = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", names.alias("items_sha256"), (F.col("n_items") >= 2).alias("contaminated"))
+
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), " + _LETTERS + "), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP8_SQL = f"""
+with b as (select item_id::varchar as item, {_WORDS} as w from benchmark),
+windows as (select distinct item, list_slice(w, i, i + 7) as v from (select item, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) as i from b where len(w) > 0)),
+sizes as (select distinct len(v) as n from windows),
+d as (select doc_id, {_WORDS} as w from documents),
+places as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n),
+hits as (select p.doc_id, p.i, p.n, x.item from places p join windows x on x.v = list_slice(p.w, p.i, p.i + p.n - 1)),
+covered as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from hits) group by 1),
+items as (select doc_id, list_sort(list(distinct item)) as items from hits group by 1)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(c.n_hit, 0)::bigint as n_hit, coalesce(len(i.items), 0)::bigint as n_items,
+    sha256(coalesce(array_to_string(i.items, ','), '')) as items_sha256, coalesce(len(i.items), 0) >= 2 as contaminated
+from d left join covered c using (doc_id) left join items i using (doc_id)
+"""

@@ -523,3 +523,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90)
+
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP5_SQL = f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\\x20\\x09-\\x0D]+') as w from documents),
+grams as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [w] else list_transform(range(1, len(w) - 1), lambda i: list_slice(w, i, i + 2)) end) as g from w),
+classes as (select min(doc_id) as rep, any_value(g) as g from (select doc_id, g, list_sort(g) as k from grams where len(g) > 0) group by k),
+parts as (select rep, len(g) as n, unnest(g) as s from classes),
+links as (select a.rep as a, b.rep as b from parts a join parts b on a.s = b.s and a.rep <> b.rep group by 1, 2 having 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+component as (select a as rep, least(a, min(b)) as component_id from reach group by 1),
+degree as (select a as rep, count(*) as n_links from links group by 1),
+own as (select g.doc_id, len(g.g) as n, min(g.doc_id) over (partition by list_sort(g.g)) as rep from grams g)
+select o.doc_id, o.n::bigint as n_shingles, case when o.n = 0 then o.doc_id else coalesce(c.component_id, o.rep) end as component_id, case when o.n = 0 then 0 else coalesce(d.n_links, 0) end::bigint as n_links
+from own o left join component c on c.rep = o.rep left join degree d on d.rep = o.rep
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_token_counts": wordpiece.op10_token_counts,
 }
 
-ORACLE_SQL = {"op7_url_filter": urls.OP7_SQL}
+ORACLE_SQL = {"op5_jaccard_join": jaccard.OP5_SQL, "op7_url_filter": urls.OP7_SQL, "op8_decontamination": decontaminate.OP8_SQL}
