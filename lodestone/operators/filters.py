@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 # Fixed values of the filter language.
 COMPARISONS = ("$eq", "$ne", "$lt", "$lte", "$gt", "$gte")
 MOST_DEPTH = 2
@@ -135,16 +137,9 @@ def flatten_json(docs: DataFrame, id_col: str, document: Column, separator: str
 
 
 def attribute_dictionary(attributes: DataFrame) -> DataFrame:
-    """(path, kind, value, attr_id): dense numbers from 0 in the order of (path, kind, value).
-
-    Distinct attributes are ranked by range partition: sorted parts get the number of
-    attributes before them, so no single task sees them all.
-    """
-    distinct = attributes.select("path", "kind", "value").distinct()
-    ordered = distinct.repartitionByRange("path", "kind", "value").sortWithinPartitions("path", "kind", "value").withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    before = ordered.groupBy(part.alias("_p")).agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ordered.withColumn("_p", part).join(F.broadcast(before.select("_p", "start")), "_p").select("path", "kind", "value", (F.col("start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("attr_id"))
+    """(path, kind, value, attr_id): dense numbers from 0 in the order of (path, kind, value)."""
+    keys = ["path", "kind", "value"]
+    return numbered(attributes.select(*keys).distinct(), keys, "attr_id").select(*keys, "attr_id")
 
 
 def postings(attributes: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import cut, numbered
 from .search import DIGITS, knn, matrix, query_blocks, top
 
 #: Candidates that a prune looks at.
@@ -45,35 +46,22 @@ def reachable(edges: DataFrame, starts: DataFrame, limit: int = 100) -> DataFram
     Each level is written below the checkpoint folder, so plans stay short.
     """
     spark = edges.sparkSession
-    seen = starts.select(F.col("id").cast("long").alias("id")).distinct().withColumn("level", F.lit(0)).transform(_cut)
+    seen = starts.select(F.col("id").cast("long").alias("id")).distinct().withColumn("level", F.lit(0)).transform(cut)
     front = seen
     for level in range(1, limit):
         new = front.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        front = new.withColumn("level", F.lit(level)).transform(_cut)
+        front = new.withColumn("level", F.lit(level)).transform(cut)
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
     return spark.createDataFrame([], seen.schema).unionByName(seen)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-"))
-    return df.checkpoint()
-
-
 def bfs_order(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
     """(id, new_id): breadth-first numbering, levels in id order; what isn't reached follows in id order."""
     found = reachable(edges, starts)
     all_ = nodes.select("id").join(found, "id", "left").withColumn("level", F.coalesce("level", F.lit(1 << 30)))
-    ordered = all_.repartitionByRange("level", "id").sortWithinPartitions("level", "id").withColumn("_at", F.monotonically_increasing_id()).transform(_cut)
-    part = F.shiftright("_at", 33)
-    before = ordered.groupBy(part.alias("_p")).agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ordered.withColumn("_p", part).join(F.broadcast(before.select("_p", "start")), "_p").select("id", (F.col("start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("new_id"))
+    return numbered(all_, ["level", "id"], "new_id").select("id", "new_id")
 
 
 def renumbered(edges: DataFrame, order: DataFrame) -> DataFrame:
