@@ -60,6 +60,12 @@ class Tables:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear_tables(spark: SparkSession) -> None:
+    """Delete all intermediate tables below the checkpoint folder; results that weren't written read them still."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestone")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # --- text as Arrow buffers -------------------------------------------------
 
 
@@ -216,5 +222,8 @@ def components(edges: DataFrame, tables: Tables, max_rounds: int = 60) -> DataFr
         if (mark.n, mark.s) == seen:
             break
         seen = (mark.n, mark.s)
+    else:
+        if seen:
+            raise RuntimeError(f"components aren't final after {max_rounds} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(roots)

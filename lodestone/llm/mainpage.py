@@ -49,6 +49,7 @@ _HINTS = [
 ]
 _HINT = [(kind, re.compile(rf"(?:^|[-_:])(?:{words})(?:$|[-_:]|\d)", re.I)) for kind, words in _HINTS]
 _NOT_HINT = re.compile(r"^(?:has|no|with|without|is|not|js|show|hide)[-_]|(?:^|[-_])(?:article|post|entry|story|content|page)[-_](?:header|head|top|title|body|content|text)$", re.I)
+_CONTENT = re.compile(r"^(?:main|page|post|entry|article|story|site|blog)?[-_]?(?:content|article|body|main|story|post|entry|text)$", re.I)
 _KEEP = frozenset(("html", "body", "main"))
 
 
@@ -84,12 +85,14 @@ def container_kind(tag: str, attributes: str, inside: bool, hints: bool) -> str
     if role in _ROLES and not (role == "banner" and inside):
         return _ROLES[role]
     names = f"{found.get('class', '')} {found.get('id', '')}".split() + found.get("aria-label", "").lower().split()
+    # One class that says content outweighs another one that tells of its place or looks.
+    content = any(_CONTENT.search(n) for n in names)
     for name in names:
         name = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name)
         if _NOT_HINT.search(name):
             continue
         for kind, words in _HINT:
-            if words.search(name) and not (tag == "article" and kind != "comment") and not (kind == "header" and inside):
+            if words.search(name) and not (tag == "article" and kind != "comment") and not (kind == "header" and inside) and not (content and kind in ("side", "menu", "share", "footer", "header")):
                 return kind
     return None
 

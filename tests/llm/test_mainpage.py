@@ -34,6 +34,7 @@ CASES = {
     "notice": ("<div class='cookie-banner'><p>We use cookies to make it better for all of you</p></div><article><p>Text.</p></article>", "Text."),
     "form": ("<article><p>Before the form.</p><form><label>Mail</label><input><button>Go</button></form><p>After it.</p></article>", "Before the form.\nAfter it."),
     "divs": ("<div class=menu><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div><div class=content><h2>Head line</h2><p>Long text in here, of many words, goes on and on.</p></div><div class=sidebar><a href=3>More</a></div>", "Head line\nLong text in here, of many words, goes on and on."),
+    "layout class": ("<div class='main-content sidebar-right'><h1>Head</h1><p>The text of this page is here.</p></div><div class='sidebar'><p>Other things</p></div>", "Head\nThe text of this page is here."),
     "script": ("<article><p>x <script>var a = '<p>no</p>';</script>y</p><style>p{}</style><!-- <p>no</p> --></article>", "x y"),
     "unclosed": ("<article><p>One<p>Two <b>three", "One\nTwo three"),
     "inline": ("<article><p>fo<b>ob</b>ar<br>baz</p></article>", "foobar baz"),
