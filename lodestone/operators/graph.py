@@ -134,6 +134,34 @@ def prune_candidates(center: np.ndarray, ids: np.ndarray, vectors: np.ndarray, m
     return kept
 
 
+def ladder_prune(center: np.ndarray, ids: np.ndarray, vectors: np.ndarray, most: int, alpha: float = 1.2, saturate: bool = False) -> list[int]:
+    """Places of the kept candidates when alpha rises from 1 in steps of min(alpha, 1.2) until enough are kept.
+
+    A candidate's occlusion is the greatest ratio of its distance to the centre over that to a kept one;
+    it waits while that is beyond the current alpha. ``saturate`` fills up with the nearest left.
+    """
+    d = ((vectors - center) ** 2).sum(1)
+    order = np.lexsort((ids, np.round(d, 9)))[:MOST_CANDIDATES].tolist()
+    occlusion, kept, now = dict.fromkeys(order, 0.0), [], 1.0
+    while True:
+        for i in order:
+            if len(kept) == most:
+                break
+            if i in kept or occlusion[i] > now:
+                continue
+            kept.append(i)
+            for j in order:
+                if j not in kept and occlusion[j] <= alpha:
+                    gap = ((vectors[i] - vectors[j]) ** 2).sum()
+                    occlusion[j] = max(occlusion[j], d[j] / gap if gap > 0 else np.inf)
+        if len(kept) == most or now >= alpha:
+            break
+        now = min(alpha, now * min(alpha, 1.2))
+    if saturate:
+        kept += [i for i in order if i not in kept][: most - len(kept)]
+    return kept
+
+
 def robust_prune(candidates: DataFrame, base: DataFrame, most: int = 32, alpha: float = 1.2) -> DataFrame:
     """(src, dst, ord): each node's candidates (src, dst) thinned.
 
@@ -229,8 +257,8 @@ class Layered:
     def gaps(self, q: np.ndarray, rows) -> np.ndarray:
         return ((self.vec[rows] - q) ** 2).sum(1)
 
-    def beam(self, q: np.ndarray, start: list[int], length: int, layer: int, trace: list | None = None) -> list[tuple[float, int]]:
-        """The nearest ``length`` found by a best-first walk."""
+    def beam(self, q: np.ndarray, start: list[int], length: int, layer: int, trace: list | None = None, opens: int | None = None) -> list[tuple[float, int]]:
+        """The nearest ``length`` found by a best-first walk that opens ``opens`` nodes at most."""
         seen = set(start)
         near = [(float(d), s) for d, s in zip(self.gaps(q, start), start)]
         heap, best = list(near), [(-d, s) for d, s in near]
@@ -239,7 +267,7 @@ class Layered:
         hop = 0
         while heap:
             d, x = heapq.heappop(heap)
-            if d > -best[0][0] and len(best) >= length:
+            if d > -best[0][0] and len(best) >= length or hop == opens:
                 break
             if trace is not None:
                 trace.append((hop, x, d))
@@ -286,26 +314,29 @@ class Layered:
         if own > top_level:
             self.entry = i
 
-    def search(self, q: np.ndarray, k: int, length: int, trace: list | None = None) -> list[tuple[int, float]]:
+    def search(self, q: np.ndarray, k: int, length: int, trace: list | None = None, opens: int | None = None) -> list[tuple[int, float]]:
         """The k nearest found with a beam of max(length, k)."""
         if self.entry < 0:
             return []
         at = [self.entry]
         for layer in range(len(self.links[self.entry]) - 1, 0, -1):
             at = [self.beam(q, at, 1, layer)[0][1]]
-        return [(int(self.ids[x]), d) for d, x in self.beam(q, at, max(length, k), 0, trace)[:k]]
+        return [(int(self.ids[x]), d) for d, x in self.beam(q, at, max(length, k), 0, trace, opens)[:k]]
 
 
 def _by_part(base: DataFrame) -> DataFrame:
     return base.select(F.col("part").cast("long").alias("part"), F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")).where("vec is not null")
 
 
-def graph_search(base: DataFrame, queries: DataFrame, k: int = 10, length: int = 100, m: int = 16) -> DataFrame:
-    """Approximate nearest by a layered graph in every part (base: part, id, vec), merged over parts."""
+def graph_search(base: DataFrame, queries: DataFrame, k: int = 10, length: int = 100, m: int = 16, opens: int | None = None) -> DataFrame:
+    """Approximate nearest by a layered graph in every part (base: part, id, vec), merged over parts.
+
+    ``opens`` limits the nodes that a walk reads in each part.
+    """
     def walk(sent) -> Callable[[pa.Table], pa.Table]:
         def run(table: pa.Table) -> pa.Table:
             g = Layered(m).build(table["id"].to_numpy(), matrix(table["vec"]))
-            rows = [(int(q), i, d) for q, v in zip(*sent.value) for i, d in g.search(v, k, length)]
+            rows = [(int(q), i, d) for q, v in zip(*sent.value) for i, d in g.search(v, k, length, opens=opens)]
             return pa.table({"qid": pa.array([r[0] for r in rows], pa.int64()), "id": pa.array([r[1] for r in rows], pa.int64()), "distance": pa.array([r[2] for r in rows], pa.float64())})
 
         return run

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, unit_rows
@@ -194,6 +194,60 @@ def reranked_knn(base: DataFrame, codes: DataFrame, queries: DataFrame, codebook
     return top(pairs, k).select("qid", "id", "rank", "distance")
 
 
+def save_codebook(spark: SparkSession, codebook: list[np.ndarray], path: str, version: int = 0) -> None:
+    """A codebook as a table (version, chunk, code, centroid); versions are folders of one table."""
+    rows = [(chunk, code, [float(x) for x in c]) for chunk, book in enumerate(codebook) for code, c in enumerate(book)]
+    spark.createDataFrame(rows, "chunk int, code int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def load_codebook(spark: SparkSession, path: str, version: int = 0, dim: int | None = None) -> list[np.ndarray]:
+    """A saved codebook; with ``dim`` its chunks must add up to it."""
+    rows = spark.read.parquet(f"{path}/version={version}").orderBy("chunk", "code").collect()
+    out = [np.array([r.centroid for r in rows if r.chunk == c]) for c in sorted({r.chunk for r in rows})]
+    if dim is not None and sum(b.shape[1] for b in out) != dim:
+        raise ValueError("the codebook is for other dimensions")
+    return out
+
+
+def versioned_adc_knn(codes: DataFrame, queries: DataFrame, codebooks: dict[int, list[np.ndarray]], offsets: list[int], k: int = 10) -> DataFrame:
+    """Lookups over codes (version, id, code) of several codebooks, each by its own, as one result."""
+    from .search import merge_hits
+
+    return merge_hits([adc_knn(codes.where(F.col("version") == v), queries, book, offsets, k) for v, book in sorted(codebooks.items())], k)
+
+
+def decoded_knn(codes: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
+    """Exhaustive search over min-max codes (id, code, p): distances to the decoded vectors."""
+    from .search import knn
+
+    return knn(codes.select("id", minmax_decode(F.col("code"), F.col("p")).alias("vec")), queries, k, metric)
+
+
+def singular_values(base: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(values, directions as rows) of the table as a matrix, from its Gram matrix.
+
+    A task sends one dimensions x dimensions sum, whatever its rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            m = matrix(b.column(0))
+            if len(m):
+                total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "row"])
+
+    parts = base.select("vec").where("vec is not null").mapInArrow(run, "i int, row array<double>")
+    sums = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    d = 1 + max((r.i for r in sums), default=-1)
+    gram = np.zeros((d, d))
+    for r in sums:
+        gram[r.i, r.j] = r.x
+    values, vectors = np.linalg.eigh(gram)
+    return np.sqrt(np.maximum(values[::-1], 0)), vectors[:, ::-1].T
+
+
 # --- transforms and spherical codes ---------------------------------------------
 
 

@@ -446,6 +446,23 @@ def minmax_recode(spark, sf):
     return rows.select("id", F.aggregate(codes, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
+_DEC = "(select vec_id, label, list_transform(e, lambda x: lo + round((x - lo) / step) * step) as embedding from (select vec_id, label, embedding::double[] as e, list_min(embedding::double[]) as lo, (list_max(embedding::double[]) - list_min(embedding::double[])) / 15 as step from embeddings))"
+
+
+@query(ranked_sql(pairs_sql(source=_DEC), 10))
+def minmax_code_knn(spark, sf):
+    rows = base(spark, sf)
+    p = quantize.minmax_parameters(F.col("vec"), 4)
+    codes = rows.withColumn("p", p).withColumn("code", quantize.minmax_codes(F.col("vec"), 4, F.col("p")))
+    return quantize.decoded_knn(codes, asked(rows), 10)
+
+
+@query(f"select round(sum(list_inner_product(embedding::double[], embedding::double[])), 4) as energy from {E}")
+def singular_energy(spark, sf):
+    values, _ = quantize.singular_values(base(spark, sf))
+    return spark.createDataFrame([(round(float((values**2).sum()), 4),)], "energy double")
+
+
 def _pinned(spark, sf):
     """A codebook pinned to the first 16 rows, 8 chunks of 8."""
     import numpy as np

@@ -33,8 +33,8 @@ def _typed(value):
     return F.when(number != "", value).otherwise(F.concat(F.lit('"'), F.regexp_replace(value, r'(["\\])', r"\\$1"), F.lit('"')))
 
 
-def _object(pairs, operator: str | None = None):
-    """JSON object of k=v texts; those without one ``=`` are skipped."""
+def _members(pairs, operator: str | None = None):
+    """Comma-joined JSON members of k=v texts; those without one ``=`` are skipped."""
     good = F.filter(pairs, lambda p: F.size(F.split(p, "=")) == 2)
 
     def member(p):
@@ -42,18 +42,19 @@ def _object(pairs, operator: str | None = None):
         value = value if operator is None else F.concat(F.lit('{"' + operator + '":'), value, F.lit("}"))
         return F.concat(F.lit('"'), key, F.lit('":'), value)
 
-    return F.concat(F.lit("{"), F.array_join(F.transform(good, member), ","), F.lit("}"))
+    return F.array_join(F.transform(good, member), ",")
 
 
 def convert_labels(lines: DataFrame) -> DataFrame:
     """(id, line) with ``k=v,k=v`` as JSON lines with a doc_id."""
-    body = _object(F.split("line", ","))
-    return lines.select(F.concat(F.lit('{"doc_id":'), F.col("id").cast("string"), F.when(body != "{}", ",").otherwise(""), F.expr("substring(b, 2)")).alias("value")) if "b" in lines.columns else lines.withColumn("b", body).transform(convert_labels)
+    doc_id = F.concat(F.lit('"doc_id":'), F.col("id").cast("string"))
+    members = _members(F.split("line", ","))
+    return lines.select(F.concat(F.lit("{"), F.concat_ws(",", doc_id, F.when(members != "", members)), F.lit("}")).alias("value"))
 
 
 def convert_queries(lines: DataFrame) -> DataFrame:
     """(id, line) with ``k=v&k=v`` as JSON lines {query_id, filter} of equalities."""
-    return lines.select(F.concat(F.lit('{"query_id":'), F.col("id").cast("string"), F.lit(',"filter":'), _object(F.split("line", "&"), "$eq"), F.lit("}")).alias("value"))
+    return lines.select(F.concat(F.lit('{"query_id":'), F.col("id").cast("string"), F.lit(',"filter":{'), _members(F.split("line", "&"), "$eq"), F.lit("}}")).alias("value"))
 
 
 def with_payload(vectors: DataFrame, payload: DataFrame) -> DataFrame:

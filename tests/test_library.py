@@ -354,3 +354,39 @@ def test_generated_data(spark):
     assert generate.payload_range(spark, 258, 259).first().payload == b"\x02\x01\x00\x00"
     assert all(abs(math.fsum(x * x for x in r.vec) - 4) < 1e-5 for r in generate.on_sphere(spark, 5, 6, 2.0).collect())
     assert len({r.vec[0] // 0.1 for r in generate.hypercube_points(spark, 10, 2).collect()}) == 10
+
+
+def test_ladder_keeps_at_least_what_one_step_keeps():
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(40, 4))
+    ids = np.arange(40)
+    kept = graph.ladder_prune(np.zeros(4), ids, v, 8)
+    assert kept[0] == int((v**2).sum(1).argmin()) and len(set(kept)) == len(kept) <= 8
+    assert len(graph.ladder_prune(np.zeros(4), ids, v, 8, saturate=True)) == 8
+
+
+def test_codebooks_are_saved_and_versioned(spark, tmp_path):
+    m, base = random_rows(spark, 100, 8)
+    offsets = quantize.chunk_offsets(8, 3)
+    books = {v: quantize.train_codebook(m.astype(float), offsets, 16, 2, seed=v) for v in (0, 1)}
+    for v, book in books.items():
+        quantize.save_codebook(spark, book, f"{tmp_path}/b", v)
+        assert all(np.allclose(x, y) for x, y in zip(book, quantize.load_codebook(spark, f"{tmp_path}/b", v, 8)))
+    with pytest.raises(ValueError):
+        quantize.load_codebook(spark, f"{tmp_path}/b", 0, 9)
+    codes = [quantize.encode(base.where(F.col("id") % 2 == v), books[v], offsets).withColumn("version", F.lit(v)) for v in (0, 1)]
+    q = base.where("id < 3").select(F.col("id").alias("qid"), F.col("vec").alias("query"))
+    assert quantize.versioned_adc_knn(codes[0].unionByName(codes[1]), q, books, offsets, 5).count() == 15
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lodestone.__main__ import main
+
+    main(["generate", f"{tmp_path}/v", "--rows", "60", "--dim", "5"])
+    main(["export", f"{tmp_path}/v", f"{tmp_path}/v.fvecs"])
+    main(["probe", f"{tmp_path}/v.fvecs"])
+    main(["import", f"{tmp_path}/v.fvecs", f"{tmp_path}/w"])
+    main(["truth", f"{tmp_path}/w", f"{tmp_path}/w", f"{tmp_path}/t", "--k", "3"])
+    main(["evaluate", f"{tmp_path}/w", f"{tmp_path}/w", f"{tmp_path}/t", "--k", "3", "--spec", '{"mode": "graph"}'])
+    lines = [json.loads(x) for x in capsys.readouterr().out.strip().splitlines()]
+    assert lines[0] == {"kind": "fvecs", "dimensions": 5, "rows": 60} and lines[1]["recall"] > 0.95
