@@ -276,7 +276,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect():
         counts[r.length] = r.n
     place = spark.sparkContext.broadcast(places(plan(counts, capacity)))
-    ranked = made.join(before.drop("n"), ["part", "length"]).withColumn("rank", F.col("nth") + F.coalesce("before", F.lit(0)))
+    # Offsets grow with the number of tasks, so they are joined by shuffle.
+    ranked = made.join(before.drop("n").hint("merge"), ["part", "length"]).withColumn("rank", F.col("nth") + F.coalesce("before", F.lit(0)))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
