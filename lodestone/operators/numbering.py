@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint, in the session's folder; one of its own only where none is set."""
+    """df from a reliable checkpoint in ``spark.checkpoint.dir``; in a folder of its own only where that is unset."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-"))
+    if not spark.sparkContext.getCheckpointDir():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            own = tempfile.mkdtemp(prefix="lodestone-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            path = f"file://{own}"
+        spark.sparkContext.setCheckpointDir(path)
     return df.checkpoint()
 
 
