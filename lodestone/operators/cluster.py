@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import squared_l2
-from .search import DIGITS, _nearest, knn, matrix, top
+from .search import DIGITS, Nearest, knn, matrix, top
 
 
 def mean_vector(base: DataFrame) -> np.ndarray:
@@ -118,7 +118,7 @@ def probe(partitions: DataFrame, pivots: DataFrame, queries: DataFrame, k: int =
     sent = spark.sparkContext.broadcast({s: (np.array(q, np.int64), np.array([rows[x] for x in q], np.float64)) for s, q in by_shard.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = _nearest(k)
+        keep = Nearest(k)
         for b in batches:
             own, m, shard = b.column(0).to_numpy(), matrix(b.column(1)), b.column(2).to_numpy()
             for s in np.unique(shard):
@@ -127,7 +127,7 @@ def probe(partitions: DataFrame, pivots: DataFrame, queries: DataFrame, k: int =
                 q, vec = sent.value[int(s)]
                 at = np.flatnonzero(shard == s)
                 d = np.stack([((m[at] - v) ** 2).sum(1) for v in vec])
-                i, j = np.nonzero(keep(d, None))
+                i, j = np.nonzero(keep(int(s), d))
                 yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(own[at][j]), pa.array(d[i, j])], ["qid", "id", "distance"])
 
     hit = partitions.where(F.col("shard").isin(list(by_shard))).select(F.col("id").cast("long").alias("id"), "vec", F.col("shard").cast("long").alias("shard"))

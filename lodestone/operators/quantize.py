@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, unit_rows
-from .search import DIGITS, _nearest, matrix, query_blocks, top
+from .search import DIGITS, Nearest, matrix, query_blocks, top
 
 
 def dimension_stats(base: DataFrame) -> DataFrame:
@@ -167,13 +167,13 @@ def adc_knn(codes: DataFrame, queries: DataFrame, codebook: list[np.ndarray], of
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             qids, luts = sent.value
-            keep = _nearest(k)
+            keep = Nearest(k)
             for b in batches:
                 if not b.num_rows:
                     continue
                 own, m = b.column(0).to_numpy(), matrix(b.column(1)).astype(int)
                 d = sum(t[:, m[:, i]] for i, t in enumerate(luts))
-                i, j = np.nonzero(keep(d, None))
+                i, j = np.nonzero(keep(0, d))
                 yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(own[j]), pa.array(d[i, j])], ["qid", "id", "distance"])
 
         part = codes.select("id", "code").mapInArrow(run, "qid long, id long, distance double").withColumn("distance", F.round("distance", DIGITS) + F.lit(0.0))

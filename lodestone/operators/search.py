@@ -46,8 +46,10 @@ def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.array([r.qid for r in got], np.int64), np.array([r.query for r in got], np.float64)
 
 
-def scored(base: DataFrame, queries: DataFrame, metric: str | Metric, keep, factor: Column | None = None, group: Column | None = None, exclude_self: bool = False) -> DataFrame:
-    """(qid, id, distance, grp) of all pairs that keep(distances, groups) marks in each batch.
+def scored(base: DataFrame, queries: DataFrame, metric: str | Metric, marker, factor: Column | None = None, group: Column | None = None, exclude_self: bool = False) -> DataFrame:
+    """(qid, id, distance, grp) of all pairs that are marked in each batch.
+
+    ``marker()`` makes a task's own function (query block, distances, groups) -> marks.
 
     base: (id, vec); queries: (qid, query). ``factor`` multiplies a row's distances.
     NaN distances are in no result. Null vectors and vectors of another dimension are skipped.
@@ -61,6 +63,7 @@ def scored(base: DataFrame, queries: DataFrame, metric: str | Metric, keep, fact
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             qids, q = sent.value
+            keep = marker()
             for b in batches:
                 b = b.filter(pa.compute.equal(pa.compute.list_value_length(b.column(1)), q.shape[1])) if b.num_rows else b
                 if not b.num_rows:
@@ -71,7 +74,7 @@ def scored(base: DataFrame, queries: DataFrame, metric: str | Metric, keep, fact
                     d = rough(metric, q[lo : lo + 256], m) * f
                     if exclude_self:
                         d[qids[lo : lo + 256, None] == own] = np.nan
-                    i, j = np.nonzero(keep(d, g) & ~np.isnan(d))
+                    i, j = np.nonzero(keep(lo, d, g) & ~np.isnan(d))
                     if len(i):
                         real = exact(metric, q[lo + i], m[j]) * f[j]
                         yield pa.RecordBatch.from_arrays([pa.array(qids[lo + i]), pa.array(own[j]), pa.array(real), pa.array(g[j].astype(np.int64))], ["qid", "id", "distance", "grp"])
@@ -83,18 +86,27 @@ def scored(base: DataFrame, queries: DataFrame, metric: str | Metric, keep, fact
     return out.withColumn("distance", F.round("distance", DIGITS) + F.lit(0.0))
 
 
-def _nearest(k: int):
-    """Marks each query's k nearest of a batch and all that may tie with the last."""
+class Nearest:
+    """Marks what may be among each query's k nearest, given all that a task has seen so far.
 
-    def keep(d: np.ndarray, _: np.ndarray) -> np.ndarray:
-        if d.shape[1] <= k:
-            return np.ones(d.shape, bool)
+    Holds k distances for each query (and group), so a task sends about k (1 + ln of its
+    batches) rows for a query, not k for each batch. All that may tie with the last are marked.
+    """
+
+    def __init__(self, k: int):
+        self.k, self.best = k, {}
+
+    def __call__(self, key, d: np.ndarray) -> np.ndarray:
+        """d: queries x rows; key: of the queries (and group) that the rows of d are for."""
         full = np.where(np.isnan(d), np.inf, d)
-        last = np.partition(full, k - 1, axis=1)[:, k - 1 : k]
+        both = np.concatenate((self.best[key], full), 1) if key in self.best else full
+        if both.shape[1] <= self.k:
+            self.best[key] = both
+            return np.ones(d.shape, bool)
+        self.best[key] = np.partition(both, self.k - 1, axis=1)[:, : self.k]
+        last = self.best[key].max(1, keepdims=True)
         return full <= last + 2 * 10.0**-DIGITS + SLACK * np.abs(last)
 
-    return keep
-
 
 def top(pairs: DataFrame, k: int, by: str = "qid") -> DataFrame:
     """rank 1 to k by (distance, id); Spark drops the rest before the shuffle too."""
@@ -102,9 +114,19 @@ def top(pairs: DataFrame, k: int, by: str = "qid") -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def nearest(k: int):
+    """A marker of each query's k nearest."""
+
+    def marker():
+        seen = Nearest(k)
+        return lambda lo, d, _: seen(lo, d)
+
+    return marker
+
+
 def knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str | Metric = Metric.L2, factor: Column | None = None, exclude_self: bool = False, page: int = 1) -> DataFrame:
     """(qid, id, rank, distance): each query's k nearest; ``page`` p gives ranks (p-1)k+1 to pk, numbered from the first."""
-    found = top(scored(base, queries, metric, _nearest(k * page), factor, exclude_self=exclude_self), k * page)
+    found = top(scored(base, queries, metric, nearest(k * page), factor, exclude_self=exclude_self), k * page)
     return found.where(F.col("rank") > k * (page - 1)).select("qid", "id", "rank", "distance")
 
 
@@ -124,7 +146,7 @@ def beta_knn(base: DataFrame, queries: DataFrame, predicate: Column, k: int = 10
     if not final_filter:
         return knn(base, queries, k, metric, F.when(match, F.lit(beta)).otherwise(F.lit(1.0)))
     size = max(k, length or k)
-    pairs = scored(base, queries, metric, _nearest(size), F.when(match, F.lit(beta)).otherwise(F.lit(1.0)), match.cast("int"))
+    pairs = scored(base, queries, metric, nearest(size), F.when(match, F.lit(beta)).otherwise(F.lit(1.0)), match.cast("int"))
     return top(top(pairs, size).where("grp = 1").drop("rank"), k).select("qid", "id", "rank", "distance")
 
 
@@ -133,7 +155,7 @@ def range_search(base: DataFrame, queries: DataFrame, radius: float, inner: floa
     if inner is not None and inner > radius:
         raise ValueError("the inner radius is beyond the radius")
     pad = 2 * 10.0**-DIGITS + SLACK * abs(radius)
-    pairs = scored(base, queries, metric, lambda d, _: d <= radius + pad)
+    pairs = scored(base, queries, metric, lambda: lambda _, d, __: d <= radius + pad)
     pairs = pairs.where(F.col("distance") <= radius)
     if inner is not None:
         pairs = pairs.where(F.col("distance") > inner)
@@ -145,14 +167,19 @@ def range_search(base: DataFrame, queries: DataFrame, radius: float, inner: floa
 def diverse_knn(base: DataFrame, queries: DataFrame, attribute: Column, k: int = 10, per_value: int = 2, metric: str | Metric = Metric.L2) -> DataFrame:
     """At most per_value hits of each (integer) attribute value; rows without the attribute are left out."""
 
-    def keep(d: np.ndarray, g: np.ndarray) -> np.ndarray:
-        out, nearest = np.zeros(d.shape, bool), _nearest(per_value)
-        for value in np.unique(g):
-            cols = np.flatnonzero(g == value)
-            out[:, cols] = nearest(d[:, cols], g[cols])
-        return out
+    def marker():
+        seen = Nearest(per_value)
+
+        def keep(lo: int, d: np.ndarray, g: np.ndarray) -> np.ndarray:
+            out = np.zeros(d.shape, bool)
+            for value in np.unique(g):
+                cols = np.flatnonzero(g == value)
+                out[:, cols] = seen((lo, int(value)), d[:, cols])
+            return out
+
+        return keep
 
-    pairs = scored(base.where(attribute.isNotNull()), queries, metric, keep, group=attribute)
+    pairs = scored(base.where(attribute.isNotNull()), queries, metric, marker, group=attribute)
     inside = Window.partitionBy("qid", "grp").orderBy("distance", "id")
     some = pairs.withColumn("place", F.row_number().over(inside)).where(F.col("place") <= per_value)
     return top(some, k).select("qid", "id", F.col("grp").alias("attribute"), "rank", "distance")
