@@ -21,7 +21,7 @@ from .common import chunks, small_batches, text_buffers, word_bounds, word_hashe
 #: Words of a chain.
 CHAIN = 64
 #: The training sample: rows in all (shared among the languages) and bytes of the longest text used.
-TRAIN_ROWS, TRAIN_BYTES = 1200, 1 << 16
+TRAIN_ROWS, TRAIN_BYTES = 800, 1 << 14
 #: Passes over the sample, chains of a step, and the learning rate.
 EPOCHS, STEP_CHAINS, RATE = 3, 256, 0.5
 #: Slots of the hashed n-gram and affix tables.
@@ -72,8 +72,8 @@ def featured(data: np.ndarray, off: np.ndarray) -> Words:
     starts, ends, row = word_bounds(data, off, _LETTER)
     # Four spaces on each side; a document's last word and the next one's first don't see each other.
     pad = np.concatenate((np.full(4, 32, np.uint8), text, np.full(4, 32, np.uint8))).astype(np.uint32)
-    pairs = (pad[:-1] << np.uint32(8) | pad[1:]).astype(np.int64)
-    triples = np.zeros(len(pad), np.int64)
+    pairs = (pad[:-1] << np.uint32(8) | pad[1:]).astype(np.uint16)
+    triples = np.zeros(len(pad), np.uint16)
     triples[1:-1] = _slot(pad[:-2], pad[1:-1], pad[2:])
     a, z, size = starts + 4, ends + 4, ends - starts
     at = [np.where(size > k, pad[a + k], np.uint32(32)) for k in range(4)]
@@ -81,6 +81,17 @@ def featured(data: np.ndarray, off: np.ndarray) -> Words:
     return Words(row, starts + 4, ends + 4, pairs, triples, _slot(*at).astype(np.int64), _slot(*tail).astype(np.int64), word_hashes(text, starts, ends))
 
 
+def joined(parts: list[Words], rows: list[int]) -> Words:
+    """Words of several runs of documents as one; rows: the first document of each run."""
+    at, cols = 0, {name: [] for name in Words.__dataclass_fields__}
+    for w, first in zip(parts, rows):
+        moved = {"row": w.row + first, "starts": w.starts + at, "ends": w.ends + at, "pairs": np.append(w.pairs, np.uint16(0))}
+        for name, col in cols.items():
+            col.append(moved.get(name, getattr(w, name)))
+        at += len(w.triples)
+    return Words(**{name: np.concatenate(col) if col else np.zeros(0, np.int64) for name, col in cols.items()})
+
+
 class Model:
     """Weights of the field; tables are sized by parameters and the sample, never by the corpus."""
 
@@ -163,8 +174,8 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     """
     names = sorted(set(langs))
     label = np.array([names.index(x) for x in langs])
-    data, off = text_buffers(pa.array(texts, pa.string()))
-    w = featured(data, off)
+    runs = list(chunks(*text_buffers(pa.array(texts, pa.string()))))
+    w = joined([featured(part, at) for _, _, part, at in runs], [lo for lo, *_ in runs])
     keys, number = np.unique(w.key, return_counts=True)
     model = Model(names, keys[number >= 2])
     if len(names) < 2 or not len(w.row):
