@@ -28,6 +28,8 @@ EPOCHS, STEP_CHAINS, RATE = 3, 256, 0.5
 SLOTS = 1 << 16
 #: Share of words whose lexicon weight a training step leaves out, so that n-grams learn too.
 LEXICON_DROP = 0.4
+#: How far from chance to the sample's median sureness a text's own must be to count as text of the learned languages.
+LEAST_SURE = 0.62
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -100,6 +102,12 @@ class Model:
         self.langs, self.lexicon = langs, lexicon
         self.tables = [np.zeros((size, n), np.float32) for size in (1 << 16, SLOTS, SLOTS, SLOTS, len(lexicon) + 1)]
         self.turn, self.begin = np.zeros((n, n), np.float32), np.zeros(n, np.float32)
+        self.usual = 0.0  # median sureness of the sample's texts
+
+    def least_sure(self) -> float:
+        """The sureness below which a text is in no learned language. It needs two languages: one alone is always sure."""
+        chance = 1 / max(1, len(self.langs))
+        return chance + LEAST_SURE * (self.usual - chance) if self.usual else 0.0
 
     def entry(self, key: np.ndarray) -> np.ndarray:
         """Place of each word in the lexicon; its length for words it doesn't have (their weight stays 0)."""
@@ -252,7 +260,10 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     wanted = sorted({r.doc_id for r in ids})
     got = docs.select("doc_id", "lang", "text").where(F.col("doc_id").isin(wanted) & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES)).collect()
     got = sorted(got, key=lambda r: (r.doc_id, r.lang, r.text))
-    return train([r.text for r in got], [r.lang for r in got])
+    model = train([r.text for r in got], [r.lang for r in got])
+    sure = predictions(model, pa.array([r.text for r in got], pa.string()))[4]
+    model.usual = float(np.median(sure[sure > 0])) if sure.any() else 0.0
+    return model
 
 
 def read_labels(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[Words, np.ndarray]:
@@ -263,12 +274,12 @@ def read_labels(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[Words,
     return w, forward_backward(model.emissions(w, model.entry(w.key)), *chains(w.row), model.turn, model.begin)
 
 
-def predictions(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: language, score, number of words and of changes of language between words."""
+def predictions(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: language, score, number of words and of changes of language between words, sureness."""
     data, off = text_buffers(column)
     n = len(off) - 1
     names = np.array([*model.langs, "und"], object)
-    pred, score, words, turns = np.full(n, len(model.langs)), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    pred, score, words, turns, sure = np.full(n, len(model.langs)), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
     for lo, hi, part, at in chunks(data, off):
         w, post = read_labels(model, part, at)
         words[lo:hi] = np.bincount(w.row, minlength=hi - lo)
@@ -285,33 +296,36 @@ def predictions(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray,
             has[i] = any(c.isalpha() for c in raw[at[i] : at[i + 1]].decode())
         pred[lo:hi] = np.where(has, best, len(model.langs))
         score[lo:hi] = np.where(has, mass.max(1) / np.maximum(total, 1e-9), 0)
+        sure[lo:hi] = np.where(has, np.bincount(w.row, weight * post.max(1), minlength=hi - lo) / np.maximum(total, 1e-9), 0)
         label = post.argmax(1)
         turns[lo:hi] = np.bincount(w.row[1:][(label[1:] != label[:-1]) & (w.row[1:] == w.row[:-1])], minlength=hi - lo)
-    return names[pred].tolist(), np.clip(score, 0, 1), words, turns
+    return names[pred].tolist(), np.clip(score, 0, 1), words, turns, np.clip(sure, 0, 1)
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs with lang_pred, lang_score, lang_words and lang_switches; all other columns stay.
+    """docs with lang_pred, lang_score, lang_words, lang_switches and lang_sure; all other columns stay.
 
     lang_pred is the language with most letters by the words' posteriors, lang_score its
-    share; ``und`` and 0 where text is null, empty or without a letter, or nothing could be
+    share. lang_sure is the mean over letters of the posterior of their word's likeliest language,
+    whichever it is: near 1 for text of learned languages, switched or not, and lower for others
+    and for junk. ``und`` and 0 where text is null, empty or without a letter, or nothing could be
     learned. Rows that repeat get equal answers; equal shares go to the first language by name.
     """
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(model or fit(docs))
-    names = ["lang_pred", "lang_score", "lang_words", "lang_switches"]
+    names = ["lang_pred", "lang_score", "lang_words", "lang_switches", "lang_sure"]
     docs = docs.drop(*names)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pred, score, words, turns = predictions(sent.value, b.column(at))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(words), pa.array(turns)], [*b.schema.names, *names])
+            pred, score, words, turns, sure = predictions(sent.value, b.column(at))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(words), pa.array(turns), pa.array(sure)], [*b.schema.names, *names])
 
     from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
-    kinds = (StringType(), DoubleType(), LongType(), LongType())
+    kinds = (StringType(), DoubleType(), LongType(), LongType(), DoubleType())
     schema = StructType(list(docs.schema.fields))
     for name, kind in zip(names, kinds):
         schema = schema.add(name, kind)
