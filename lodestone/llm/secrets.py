@@ -68,6 +68,12 @@ _HEX[48:58] = _HEX[97:103] = True
 _TOKEN[[43, 45, 46, 47, 61, 95]] = _TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = True
 
 
+def core(string: str) -> str:
+    """The value in a string that may also hold its name (name=value): its longest part between equals signs, if that could be a candidate."""
+    best = max(string.split("="), key=len)
+    return best if len(best) >= SHORTEST else string
+
+
 class Novelty:
     """Marginal compressed size of a string after a dictionary and the text around it."""
 
@@ -77,13 +83,28 @@ class Novelty:
         self.tool = zstandard.ZstdCompressor(level=19, dict_data=prime, write_content_size=False, write_checksum=False)
 
     def __call__(self, text: str, start: int, end: int) -> float:
-        """Compressed bytes that text[start:end] adds to its surroundings, per byte."""
-        around = text[max(0, start - SURROUND) : start] + text[end : end + SURROUND]
+        """Compressed bytes that text[start:end] adds to its surroundings, per byte. Other copies of it don't count as surroundings."""
+        copy = core(text[start:end])
+        reach = SURROUND + len(copy)
+        around = text[max(0, start - reach) : start].replace(copy, "")[-SURROUND:] + text[end : end + reach].replace(copy, "")[:SURROUND]
         own = text[start:end].encode()
         base = around.encode("utf-8", "surrogatepass")
         return (len(self.tool.compress(base + b"\n" + own)) - len(self.tool.compress(base + b"\n"))) / len(own)
 
 
+def copies(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Every further copy of the strings found novel, wherever it stands, that no span overlaps."""
+    values = sorted({core(text[start:end]) for start, end, kind in spans if kind == "novel"}, key=lambda x: (-len(x), x))
+    taken = np.zeros(len(text), bool)
+    for start, end, _ in spans:
+        taken[start:end] = True
+    out = []
+    for m in re.finditer("|".join(map(re.escape, values)), text):
+        if not taken[m.start() : m.end()].any():
+            out.append((*m.span(), "novel"))
+    return out
+
+
 def scan(column: pa.Array, novelty: Novelty) -> Iterator[list[tuple[int, int, str]]]:
     """Spans (start, end, kind) of each text, in code points, by start and then kind.
 
@@ -124,7 +145,9 @@ def scan(column: pa.Array, novelty: Novelty) -> Iterator[list[tuple[int, int, st
             before = text[max(0, start - REACH) : start].rpartition("\n")[2]
             if SENSITIVE.search(before) and novelty(text, start, end) >= NOVELTY:
                 found[r].append((start, end, "novel"))
-        for spans in found:
+        for r, spans in enumerate(found):
+            if any(kind == "novel" for *_, kind in spans):
+                spans += copies(texts[r], spans)
             yield sorted(spans, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -137,7 +160,8 @@ def scan_secrets(docs: DataFrame, words: list[str] = IDENTIFIERS) -> DataFrame:
 
     Base spans are whole matches of the patterns; the compressor adds strings that no
     pattern covers, stand after a sensitive word on their line, mix letters and digits, and
-    don't compress against the identifiers and the text around them. Null and empty texts have no
+    don't compress against the identifiers and the text around them without their copies. Every
+    copy of such a string is a span, whatever stands before it. Null and empty texts have no
     spans. Repeated rows are each reported; other columns are ignored.
     """
     small_batches(docs.sparkSession)

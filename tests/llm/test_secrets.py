@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -59,3 +60,13 @@ def test_redaction(documents):
 
 def test_empty_table(documents):
     assert secrets.scan_secrets(documents([])).count() == 0 and secrets.redact(documents([])).count() == 0
+
+
+@pytest.mark.parametrize("again", ["private_key {0}\nprivate_key {0}\n", "private_key {0}\necho {0}\n", "private_key {0} padding\n" + "some other words " * 14 + "{0} {0}", "auth: export private_key={0}\nuse {0}\n"])
+def test_copies_do_not_hide_a_secret(documents, again):
+    r = random.Random(4)
+    keys = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=r.randrange(28, 60))) + "7a" for _ in range(30)]
+    for x, key in zip(secrets.redact(documents([again.format(k) for k in keys])).orderBy("doc_id").collect(), keys):
+        assert key not in x.text and "[REDACTED]" in x.text
+    n = secrets.scan_secrets(documents([again.format(k) for k in keys])).agg(F.sum("n_novel").alias("n")).first().n
+    assert n == len(keys) * again.count("{0}")
