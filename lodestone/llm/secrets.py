@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -21,9 +22,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
-#: What makes the text before a string sensitive, and how far back it may stand on the line.
+#: What makes the text before a string sensitive, and how far back it may stand on the line or on the end of the line above.
 SENSITIVE = re.compile(r"(auth|bearer|credential|private|secret|token|passw|passphrase|pwd|api|access|signing|signature|encrypt|session|cookie|license|client|webhook|jwt|ssh|key|salt|seed)", re.IGNORECASE | re.ASCII)
 REACH = 48
+#: What opens a block whose strings are all in sensitive context; it reaches to the next END line, or to the end of the text.
+KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END |\Z)", re.DOTALL | re.ASCII)
 #: Code points of surrounding text on each side that prime the compressor after the dictionary.
 SURROUND = 256
 #: A candidate's least length, and the marginal compressed bytes per byte that make it novel.
@@ -92,6 +95,27 @@ class Novelty:
         return (len(self.tool.compress(base + b"\n" + own)) - len(self.tool.compress(base + b"\n"))) / len(own)
 
 
+def sensitive(text: str, start: int, blocks: list[tuple[int, int]], novel: set[int]) -> bool:
+    """Whether a string that starts there is in sensitive context: a sensitive word before it on its line or on the
+    line above (empty ones skipped), a block of a private key, or a line above that ends in a string found novel
+    (one of the ends ``novel``) which the string, alone so far on its line, goes on."""
+    before = text[max(0, start - REACH) : start]
+    line = before.rfind("\n")
+    block = bisect.bisect_right(blocks, (start, len(text)))
+    if SENSITIVE.search(before, line + 1) or block and start < blocks[block - 1][1]:
+        return True
+    if line < 0:
+        return False
+    end = start - len(before) + line
+    while end > 0 and text[end - 1].isspace():
+        end -= 1
+    if SENSITIVE.search(text[max(0, end - REACH) : end].rpartition("\n")[2]):
+        return True
+    while end > 0 and text[end - 1] in "\"',\\":
+        end -= 1
+    return end in novel and not before[line + 1 :].strip(" \t\"'-")
+
+
 def copies(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Every further copy of the strings found novel, wherever it stands, that no span overlaps."""
     values = sorted({core(text[start:end]) for start, end, kind in spans if kind == "novel"}, key=lambda x: (-len(x), x))
@@ -122,6 +146,8 @@ def scan(column: pa.Array, novelty: Novelty) -> Iterator[list[tuple[int, int, st
             zero = chars[at[row[i]]]
             found[row[i]].append((int(chars[s[i]] - zero), int(chars[e[i]] - zero), "hex"))
         texts: dict[int, str] = {}
+        blocks: dict[int, list[tuple[int, int]]] = {}
+        novel: dict[int, set[int]] = {}
         bounds = at.tolist()
         for r in range(n):
             a, z = bounds[r], bounds[r + 1]
@@ -142,9 +168,11 @@ def scan(column: pa.Array, novelty: Novelty) -> Iterator[list[tuple[int, int, st
             text = texts.get(r)
             if text is None:
                 text = texts[r] = raw[bounds[r] : bounds[r + 1]].decode()
-            before = text[max(0, start - REACH) : start].rpartition("\n")[2]
-            if SENSITIVE.search(before) and novelty(text, start, end) >= NOVELTY:
+            if r not in blocks:
+                blocks[r] = [m.span(1) for m in KEY_BLOCK.finditer(text)]
+            if sensitive(text, start, blocks[r], novel.setdefault(r, set())) and novelty(text, start, end) >= NOVELTY:
                 found[r].append((start, end, "novel"))
+                novel[r].add(end)
         for r, spans in enumerate(found):
             if any(kind == "novel" for *_, kind in spans):
                 spans += copies(texts[r], spans)
@@ -159,7 +187,8 @@ def scan_secrets(docs: DataFrame, words: list[str] = IDENTIFIERS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel of every row.
 
     Base spans are whole matches of the patterns; the compressor adds strings that no
-    pattern covers, stand after a sensitive word on their line, mix letters and digits, and
+    pattern covers, stand after a sensitive word on their line or the line above, go on a string found
+    there or stand in a private key's block, mix letters and digits, and
     don't compress against the identifiers and the text around them without their copies. Every
     copy of such a string is a span, whatever stands before it. Null and empty texts have no
     spans. Repeated rows are each reported; other columns are ignored.
