@@ -8,6 +8,7 @@ is joins and aggregates over the edge table.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -40,20 +41,22 @@ def degree_stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return degree.agg(F.max("n").alias("max_degree"), F.avg("n").alias("avg_degree"), F.min("n").alias("min_degree"), F.sum((F.col("n") < 2).cast("long")).alias("under_two"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, limit: int = 100) -> DataFrame:
-    """(id, level): nodes that edges reach from the start rows (id), by breadth-first levels.
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, level): nodes that edges reach from the start rows (id), by breadth-first levels until one adds none.
 
-    Each level is written below the checkpoint folder, so plans stay short.
+    Each level is written below the checkpoint folder, and all of them together now and then, so plans stay short.
     """
     spark = edges.sparkSession
     seen = starts.select(F.col("id").cast("long").alias("id")).distinct().withColumn("level", F.lit(0)).transform(cut)
     front = seen
-    for level in range(1, limit):
+    for level in itertools.count(1):
         new = front.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
         front = new.withColumn("level", F.lit(level)).transform(cut)
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if level % 32 == 0:
+            seen = cut(seen.coalesce(edges.sparkSession.sparkContext.defaultParallelism))
     return spark.createDataFrame([], seen.schema).unionByName(seen)
 
 

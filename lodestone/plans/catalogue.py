@@ -668,7 +668,7 @@ _REACH = f"with recursive e as ({_EDGES}), r(id, level) as (select 0::bigint, 0
 @query(f"{_REACH} select * from f")
 def graph_reachable(spark, sf):
     rows, edges = _edges(spark, sf)
-    return graph.reachable(edges, rows.where("id = 0"), 13)
+    return graph.reachable(edges, rows.where("id = 0"))
 
 
 @query(f"{_REACH} select v.vec_id as id, row_number() over (order by coalesce(f.level, 1 << 30), v.vec_id) - 1 as new_id from embeddings v left join f on f.id = v.vec_id where v.vec_id < 200")
@@ -709,7 +709,7 @@ def navigation_nodes(spark, sf):
 
 @query()
 def robust_prune(spark, sf):
-    rows = base(spark, sf).where("id < 200")
+    rows = base(spark, sf)
     return graph.robust_prune(graph.knn_edges(rows, 40), rows, 8)
 
 
@@ -732,7 +732,8 @@ def recorded_walk(spark, sf):
 
 @query()
 def gorder_reorder(spark, sf):
-    rows, edges = _edges(spark, sf)
+    rows = base(spark, sf)
+    edges = graph.knn_edges(rows, 6).select("src", "dst", "ord")
     return graph.greedy_order(edges, rows.select("id", (F.col("id") % 2).alias("part")), 16)
 
 

@@ -390,3 +390,18 @@ def test_command_line(spark, tmp_path, capsys):
     main(["evaluate", f"{tmp_path}/w", f"{tmp_path}/w", f"{tmp_path}/t", "--k", "3", "--spec", '{"mode": "graph"}'])
     lines = [json.loads(x) for x in capsys.readouterr().out.strip().splitlines()]
     assert lines[0] == {"kind": "fvecs", "dimensions": 5, "rows": 60} and lines[1]["recall"] > 0.95
+
+
+def test_reachable_walks_to_the_end(spark):
+    chain = spark.range(120).selectExpr("id as src", "id + 1 as dst")
+    got = graph.reachable(chain, spark.createDataFrame([(0,)], "id long")).collect()
+    assert sorted((r.id, r.level) for r in got) == [(i, i) for i in range(121)]
+
+
+def test_pruning_and_order_cover_the_whole_table(spark):
+    from lodestone.plans import catalogue
+
+    ids = {r.id for r in catalogue.base(spark, "/root/testdata/sf0.001").select("id").collect()}
+    assert len(ids) > 200
+    assert {r.src for r in catalogue.robust_prune(spark, "/root/testdata/sf0.001").collect()} == ids
+    assert sorted(r.id for r in catalogue.gorder_reorder(spark, "/root/testdata/sf0.001").collect()) == sorted(ids)
