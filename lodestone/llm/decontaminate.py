@@ -258,7 +258,7 @@ def search(index: DataFrame, phrases: Phrases, within: int | None = None) -> Dat
                 for d, s, e in zip(doc_of_span.tolist(), begin.tolist(), end.tolist()):
                     spans[d].append({"start": s - int(p.base[d]), "end": e - int(p.base[d])})
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(p.n), b.column(5)[i].as_py())), pa.array(np.arange(len(p.n))), b.column(0)[i].values, pa.array(p.n), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                    [pa.array(np.full(len(p.n), b.column(5)[i].as_py())), pa.array(np.arange(len(p.n))), b.column(0)[i].values, pa.array(p.n), pa.array(n_hit), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                     ["index_id", "place", "doc_id", "n_words", "n_hit", "items", "spans"],
                 )
 
@@ -283,7 +283,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
     run of ``window`` words of an item is a phrase; an item of fewer words is one phrase (left
     out with ``whole_only``), an item without words none. n_hit counts the document's words
     inside any occurrence. Null and empty texts have no words; repeated rows are each
-    reported; a null item_id is named by the empty string. Other columns are ignored.
+    reported; a null item_id is named by the empty string. Benchmark rows of one item_id are one item. Other columns are ignored.
     """
     tables = Tables(docs.sparkSession, "decontaminate")
     terms: np.ndarray | None = np.zeros(0, np.uint64)

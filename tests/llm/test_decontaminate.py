@@ -70,3 +70,10 @@ def test_query_of_the_tables(spark):
         n, hit, items = brute(texts[r.doc_id], benchmark, 8)
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, hit, len(items), len(items) >= 2)
         assert r.items_sha256 == hashlib.sha256(",".join(items).encode()).hexdigest()
+
+
+def test_repeated_benchmark_rows_are_one_item(spark, documents):
+    text = "one two three four five six seven eight nine"
+    bench = spark.createDataFrame([("a", text), ("a", text), (None, "other words of a null item here and more"), (None, "other words of a null item here and more")], "item_id string, text string")
+    got = decontaminate.contamination(documents([text, "other words of a null item here and more"]), bench).orderBy("doc_id").collect()
+    assert [(r.n_items, r["items"]) for r in got] == [(1, ["a"]), (1, [""])]
