@@ -20,7 +20,7 @@ from .common import chunks, small_batches, text_buffers, word_bounds, word_hashe
 
 #: Words of a chain.
 CHAIN = 64
-#: The training sample: rows in all (shared among the languages) and bytes of the longest text used.
+#: The training sample: rows in all (shared among the languages) and bytes of a text that are used at most.
 TRAIN_ROWS, TRAIN_BYTES = 800, 1 << 14
 #: Passes over the sample, chains of a step, and the learning rate.
 EPOCHS, STEP_CHAINS, RATE = 3, 256, 0.5
@@ -248,9 +248,10 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Train on ``rows`` labelled documents at most (and texts of TRAIN_BYTES at most), the same
-    number of each language, chosen by a hash of doc_id among those that aren't held out."""
-    may = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
+    """Train on ``rows`` labelled documents at most, the same number of each language, chosen by a
+    hash of doc_id among those that have text and aren't held out. Of a text of more than
+    TRAIN_BYTES only the beginning is learned, TRAIN_BYTES at most."""
+    may = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") > 0) & ~is_held_out(F.col("doc_id"))).select("doc_id", "lang")
     kinds = may.agg(F.approx_count_distinct("lang").alias("n")).first().n
     if not kinds:
         return Model([], np.zeros(0, np.uint64))
@@ -258,7 +259,8 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = may.withColumn("h", F.xxhash64("doc_id")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select("doc_id").collect()
     wanted = sorted({r.doc_id for r in ids})
-    got = docs.select("doc_id", "lang", "text").where(F.col("doc_id").isin(wanted) & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES)).collect()
+    start = F.when(F.octet_length("text") <= TRAIN_BYTES, F.col("text")).otherwise(F.substring("text", 1, TRAIN_BYTES // 4))
+    got = docs.where(F.col("doc_id").isin(wanted) & (F.octet_length("text") > 0) & F.col("lang").isNotNull()).select("doc_id", "lang", start.alias("text")).collect()
     got = sorted(got, key=lambda r: (r.doc_id, r.lang, r.text))
     model = train([r.text for r in got], [r.lang for r in got])
     sure = predictions(model, pa.array([r.text for r in got], pa.string()))[4]

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
@@ -74,3 +75,14 @@ def test_awkward_rows(documents, awkward):
 def test_empty_table_and_no_labels(documents):
     assert langid.identify(documents([])).count() == 0
     assert langid.identify(documents(["some text"])).first().lang_pred == "und"
+
+
+def test_long_and_null_texts_do_not_cost_a_language(spark):
+    rows = pq.read_table(f"{DATA}/documents.parquet").to_pandas()
+    by = {x: " ".join(rows[rows.lang == x].text.head(60)) for x in ("en", "fr")}
+    long = (by["fr"] + " ") * (1 + 20000 // len(by["fr"]))
+    data = [(i, long, "fr") for i in range(30)] + [(100 + i, None, "en") for i in range(60)] + [(200 + i, by["en"][:3000], "en") for i in range(30)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(docs, 40)
+    assert model.langs == ["en", "fr"]
+    assert langid.predictions(model, pa.array([by["en"][3000:6000], by["fr"][6000:9000]]))[0] == ["en", "fr"]
