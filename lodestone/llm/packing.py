@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 from collections import defaultdict
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, Tables, chunks, small_batches, text_buffers, word_bounds, word_hashes
+from .common import SPACED, Tables, chunks, lower_ascii, small_batches, text_buffers, word_bounds, word_hashes
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END_ID = 4096, 1
@@ -23,59 +24,177 @@ CLASSES, ROUNDS, STEP = 128, 1000, 0.05
 KEPT_WORDS = 1 << 20
 
 
+#: The split of word_bpe tokenizers: contractions, runs of letters, single digits, runs of other signs.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Kinds of bytes: unknown, ASCII sign, ASCII digit, letter.
+_OTHER, _SIGN, _DIGIT, _LETTER = 0, 1, 2, 3
+_KIND = np.zeros(256, np.int8)
+_KIND[33:127] = _SIGN
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+
+
+def byte_kinds(data: np.ndarray) -> np.ndarray:
+    """Kind of each byte. Both bytes of U+00C0 to U+023F are letters but for the two signs and U+0130,
+    whose lower case has a mark; all other code points beyond ASCII are unknown."""
+    kind = _KIND[data]
+    lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC8))
+    after = data[lead + 1]
+    lead = lead[~((data[lead] == 0xC3) & ((after == 0x97) | (after == 0xB7))) & ~((data[lead] == 0xC4) & (after == 0xB0))]
+    kind[lead] = kind[lead + 1] = _LETTER
+    return kind
+
+
 class WordIds:
-    """Ids of words by a tokenizer that drops white space; words it has met are looked up.
+    """Ids of texts by a tokenizer that drops white space; what it has met is looked up.
 
     Such a tokenizer's ids of a text are the ids of its words (runs without ASCII white
-    space) one after the other, so only new words go through the tokenizer.
+    space) one after the other, so only new words go through the tokenizer. Where the
+    tokenizer splits by SPLIT and lower-cases, words are cut where it cuts anyway, between
+    letters, digits and signs, and ASCII letters are lower-cased first; neither is done next
+    to a byte of unknown kind (a mark there may join the letter), after an apostrophe, or in
+    a word that may hold one of the tokenizer's added tokens.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        splits = [x.get("pattern", {}).get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        lowers = "Lowercase" in [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.fine = SPLIT in splits and lowers and spec["model"].get("end_of_word_suffix") == "</w>"
+        #: Ids that end a run of letters.
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for w, i in spec["model"]["vocab"].items() if w.endswith("</w>")]] = True
+        self.opens = np.zeros(256, bool)
+        self.opens[[t.content.encode()[0] for t in self.tokenizer.get_added_tokens_decoder().values()]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        """Add new words; hashes are sorted."""
-        whole = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        at = np.array([o[0] for o in whole.offsets], np.int64)
-        size = np.bincount(np.searchsorted(ends, at, "right"), minlength=len(words))
-        start = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate((self.flat, np.array(whole.ids, np.uint32)))
-        place = np.searchsorted(self.known, hashes)
-        self.known, self.start, self.size = np.insert(self.known, place, hashes), np.insert(self.start, place, start), np.insert(self.size, place, size)
+        #: Sorted hashes with first id and number of ids: a large run and the one of late words.
+        self.runs = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def __len__(self) -> int:
+        return sum(len(r[0]) for r in self.runs)
+
+    def split(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes to look up, starts and ends of the parts of words there, and which are letters only."""
+        starts, ends, _ = word_bounds(data, off, SPACED)
+        if not self.fine or not len(starts):
+            return data, starts, ends, np.zeros(len(starts), bool)
+        kind = byte_kinds(data)
+        whole = np.flatnonzero(self.opens[data])
+        if len(whole):
+            word = np.unique(np.searchsorted(starts, whole, "right") - 1)
+            size = ends[word] - starts[word]
+            kind[np.repeat(starts[word] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = _OTHER
+        known, inside = kind > _OTHER, np.zeros(len(data) + 1, bool)
+        nxt = np.append(kind[1:], _OTHER)
+        nxt[ends - 1] = _SIGN
+        cut = np.flatnonzero(known[1:] & known[:-1] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) & (data[:-1] != 39)) + 1
+        inside[starts] = True
+        inside[cut] = True
+        firsts = np.flatnonzero(inside)
+        lasts = np.append(firsts[1:], 0)
+        word = np.searchsorted(starts, firsts, "right") - 1
+        lasts[:-1] = np.minimum(lasts[:-1], ends[word[:-1]])
+        lasts[-1] = ends[-1]
+        letters = np.concatenate(([0], np.cumsum(kind == _LETTER)))
+        return np.where(known & (nxt > _OTHER), lower_ascii(data), data), firsts, lasts, letters[lasts] - letters[firsts] == lasts - firsts
+
+    def learn(self, hashes: np.ndarray, words: list[str], plain: np.ndarray) -> None:
+        """Add new words; hashes are sorted. A plain word is one run of letters, whose last id alone ends it."""
+        size, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for pick in (np.flatnonzero(plain), np.flatnonzero(~plain)):
+            if not len(pick):
+                continue
+            own = [words[i] for i in pick.tolist()]
+            if plain[pick[0]]:
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.uint32)
+                last = np.flatnonzero(self.ends[ids])
+                size[pick] = np.diff(last, prepend=-1)
+            else:
+                whole = self.tokenizer.encode(" ".join(own), add_special_tokens=False)
+                ids = np.array(whole.ids, np.uint32)
+                ends = np.cumsum([len(w) + 1 for w in own])
+                at = np.array([o[0] for o in whole.offsets], np.int64)
+                size[pick] = np.bincount(np.searchsorted(ends, at, "right"), minlength=len(own))
+            start[pick] = self.used + np.cumsum(size[pick]) - size[pick]
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), np.uint32)))
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+        old, late = self.runs
+        late = self.merged(late, (hashes, start, size))
+        if 4 * len(late[0]) > len(old[0]):
+            old, late = self.merged(old, late), tuple(x[:0] for x in late)
+        self.runs = [old, late]
+
+    @staticmethod
+    def merged(a: tuple, b: tuple) -> tuple:
+        place = np.searchsorted(a[0], b[0])
+        return tuple(np.insert(x, place, y) for x, y in zip(a, b))
+
+    def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First id, number of ids, and whether known, of each hash."""
+        start, size, found = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        for known, s, n in self.runs:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[at] == hashes
+                start[hit], size[hit] = s[at[hit]], n[at[hit]]
+                found |= hit
+        return start, size, found
 
     def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, and the first id of each row (and the end)."""
-        starts, ends, row = word_bounds(data, off, SPACED)
-        distinct, pick, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > KEPT_WORDS:
+        low, starts, ends, plain = self.split(data, off)
+        distinct, pick, back = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        if len(self) > KEPT_WORDS:
             self.clear()
-        at = np.searchsorted(self.known, distinct)
-        new = np.ones(len(distinct), bool)
-        if len(self.known):
-            new = self.known[np.minimum(at, len(self.known) - 1)] != distinct
-        if new.any():
-            raw = data.tobytes()
-            self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[pick[new]].tolist(), ends[pick[new]].tolist())])
-            at = np.searchsorted(self.known, distinct)
-        word = at[back]
-        size = self.size[word]
+        start, size, found = self.look(distinct)
+        if not found.all():
+            raw, new = low.tobytes(), pick[~found]
+            self.learn(distinct[~found], [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())], plain[new])
+            start, size, found = self.look(distinct)
+        word, size = start[back], size[back]
         before = np.concatenate(([0], np.cumsum(size)))
-        flat = self.flat[np.repeat(self.start[word] - before[:-1], size) + np.arange(int(before[-1]))]
+        flat = self.flat[np.repeat(word - before[:-1], size) + np.arange(int(before[-1]))]
         return flat, before[np.searchsorted(starts, off)]
 
 
-#: A worker's tokenizer and words, which its next tasks use too.
 _tools: dict[str, WordIds] = {}
 
 
+def tool_of(path: str) -> WordIds:
+    """A worker's tokenizer and its words, which its next tasks use too.
+
+    Tasks find this function by its name in the module, so they share the worker's one store.
+    """
+    if path not in _tools:
+        _tools[path] = WordIds(path)
+    return _tools[path]
+
+
+def cut_pieces(flat: np.ndarray, first: np.ndarray, capacity: int) -> tuple[np.ndarray, ...]:
+    """(row, piece, start, length, checksum) of the pieces of every row, each row's ids followed by the end id."""
+    n = np.diff(first) + 1
+    ids = np.full(len(flat) + len(n), END_ID, "<u4")
+    ids[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n - 1)] = flat
+    many = -(-n // capacity)
+    row = np.repeat(np.arange(len(n)), many)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    start = piece * capacity
+    length = np.minimum(capacity, n[row] - start)
+    begin = np.concatenate(([0], np.cumsum(length)))
+    raw = memoryview(ids.tobytes())
+    crc = [zlib.crc32(raw[a:z]) for a, z in zip((4 * begin[:-1]).tolist(), (4 * begin[1:]).tolist())]
+    return row, piece, start, length, np.array(crc, np.int64)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, nth): every document's pieces.
 
@@ -85,29 +204,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = _tools.get(tokenizer_path) or _tools.setdefault(tokenizer_path, WordIds(tokenizer_path))
+        tool = tool_of(tokenizer_path)
         part, made = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             data, off = text_buffers(b.column(1))
             for lo, _, text, at in chunks(data, off):
-                flat, first = tool.ids(text, at)
-                row, piece, start, length, crc = [], [], [], [], []
-                for r, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                    ids = np.append(flat[a:z], np.uint32(END_ID)).astype("<u4")
-                    for k, s in enumerate(range(0, len(ids), capacity)):
-                        cut = ids[s : s + capacity]
-                        row.append(lo + r)
-                        piece.append(k)
-                        start.append(s)
-                        length.append(len(cut))
-                        crc.append(zlib.crc32(cut.tobytes()))
-                size = np.array(length, np.int64)
+                row, piece, start, size, crc = cut_pieces(*tool.ids(text, at), capacity)
                 order = np.argsort(size, kind="stable")
                 new = np.flatnonzero(np.diff(size[order], prepend=-1))
                 nth = np.empty(len(size), np.int64)
                 nth[order] = np.arange(len(size)) - np.repeat(new, np.diff(np.append(new, len(size)))) + made[size[order]]
                 made += np.bincount(size, minlength=capacity + 1)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size), pa.array(crc, pa.int64()), pa.array(np.full(len(size), part, np.int32)), pa.array(nth)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lo + row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(size), pa.array(crc), pa.array(np.full(len(size), part, np.int32)), pa.array(nth)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
@@ -293,6 +401,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
 
 
 def op6_config_lp_packing(spark, sf_dir: str) -> DataFrame:
+    """The place of every piece of every row of ``documents``; see ``pack`` for nulls, repeats and long texts."""
     import public_tokenizers
 
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))

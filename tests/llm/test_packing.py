@@ -73,3 +73,36 @@ def test_one_length_only():
     counts = np.zeros(4097, int)
     counts[1500] = 1001
     assert sum(t for t, _ in packing.plan(counts)) == 501
+
+
+def test_ids_are_the_tokenizers():
+    r = np.random.default_rng(5)
+    parts = ["a", "B", "é", "É", "ñ", "İ", "ı", "ß", "ŉ", "Ǆ", "'", "'s", "'T", "'re", "!", ".", "<", "|", ">", "<|endoftext|>", "<|ENDOFTEXT|>", "1", "23", "́", "̱", "H̱", "̸", "=", "日", "😀", " ", " ", " ", "\n", "×", "÷", "Hello", "WORLD", "ſ", "K", "½", "²", "_", "\x00", "\x1c", "\x85"]
+    texts = ["".join(r.choice(parts, r.integers(0, 14))) for _ in range(4000)]
+    tool = packing.WordIds(PATH)
+    assert tool.fine
+    plain = Tokenizer.from_file(PATH)
+    for lo in range(0, len(texts), 500):
+        part = texts[lo : lo + 500]
+        flat, first = tool.ids(*packing.text_buffers(packing.pa.array(part)))
+        for t, a, z in zip(part, first[:-1], first[1:]):
+            assert flat[a:z].tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_next_tasks_find_the_workers_words(spark, documents):
+    docs = documents(["the words that a worker has met"])
+
+    def kept(batches):
+        import os
+
+        for b in batches:
+            yield packing.pa.RecordBatch.from_arrays([packing.pa.array([os.getpid()]), packing.pa.array([len(packing.tool_of(PATH))])], ["pid", "n"])
+
+    seen = set()
+    for _ in range(12):
+        packing.pieces(docs.coalesce(1), PATH).collect()
+        r = docs.coalesce(1).select("doc_id").mapInArrow(kept, "pid long, n long").first()
+        if r.n >= 7:
+            return
+        seen.add(r.pid)
+    raise AssertionError(f"no words kept in workers {seen}")
