@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -112,7 +113,42 @@ def read_pieces(path: str) -> tuple[list[str], list[str]]:
     return first, later
 
 
-_built: dict[int, Automaton] = {}
+class Counter:
+    """An automaton and the counts of the words it has met."""
+
+    def __init__(self, first: list[str], later: list[str]):
+        self.automaton, self.known = Automaton(first, later), {}
+
+    def sizes(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw: bytes) -> np.ndarray:
+        """Pieces of each of the distinct words raw[start:end]."""
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        out, known, count = np.zeros(len(hashes), np.int64), self.known, self.automaton.count
+        for i, (key, s, e) in enumerate(zip(hashes.tolist(), starts.tolist(), ends.tolist())):
+            size = known.get(key)
+            if size is None:
+                size = known[key] = count(raw[s:e].decode())
+            out[i] = size
+        return out
+
+
+_counters: dict[str, Counter] = {}
+
+
+def counter_of(key: str, first: list[str], later: list[str]) -> Counter:
+    """A worker's counter for the vocabulary of that digest, which its next tasks use too.
+
+    Tasks find this function by its name in the module, so they share the worker's one.
+    """
+    if key not in _counters:
+        _counters.clear()
+        _counters[key] = Counter(first, later)
+    return _counters[key]
+
+
+def digest(first: list[str], later: list[str]) -> str:
+    """What tells vocabularies apart: a digest of all pieces."""
+    return hashlib.sha256("\n".join([*first, "", *later]).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def token_counts(docs: DataFrame, first: list[str], later: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,34 +156,24 @@ def token_counts(docs: DataFrame, first: list[str], later: list[str], id_col: st
 
     Words are runs without ASCII white space; each word's pieces are counted by
     greedy longest match, pieces of ``first`` at its start and of ``later`` after it.
-    Null and empty texts have no tokens. Rows that repeat are each counted.
-    Other columns are ignored. The vocabulary is a fixed file, so its broadcast
+    Null and empty texts have no tokens; an empty table gives no rows. Rows that repeat are
+    each counted. Very long texts take linear time. Other columns are ignored. The vocabulary is a fixed file, so its broadcast
     doesn't grow with the data.
     """
     spark = docs.sparkSession
     small_batches(spark)
     vocabulary = spark.sparkContext.broadcast((first, later))
-    key = hash((len(first), len(later), *first[:50], *later[-50:]))
+    key = digest(first, later)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _built:
-            _built.clear()
-            _built[key] = Automaton(*vocabulary.value)
-        count, known = _built[key].count, {}
+        counter = counter_of(key, *vocabulary.value)
         for b in batches:
             data, off = text_buffers(b.column(1))
             words, tokens = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             for lo, hi, part, ends_at in chunks(data, off):
                 starts, ends, row = word_bounds(part, ends_at, SPACED)
                 h, pick, back = np.unique(word_hashes(part, starts, ends), return_index=True, return_inverse=True)
-                if len(known) > KEPT_WORDS:
-                    known.clear()
-                raw, sizes = part.tobytes(), np.zeros(len(h), np.int64)
-                for i, (key_, s, e) in enumerate(zip(h.tolist(), starts[pick].tolist(), ends[pick].tolist())):
-                    size = known.get(key_)
-                    if size is None:
-                        size = known[key_] = count(raw[s:e].decode())
-                    sizes[i] = size
+                sizes = counter.sizes(h, starts[pick], ends[pick], part.tobytes())
                 words[lo:hi] = np.bincount(row, minlength=hi - lo)
                 tokens[lo:hi] = np.bincount(row, sizes[back], minlength=hi - lo)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words), pa.array(tokens)], ["id", "n_words", "n_tokens"])
@@ -158,6 +184,7 @@ def token_counts(docs: DataFrame, first: list[str], later: list[str], id_col: st
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_tokens of every row of ``documents``; see ``token_counts`` for nulls and repeats."""
     import public_tokenizers
 
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), *read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
