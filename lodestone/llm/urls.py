@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import Tables, components
 
 #: Rules (verdict, host, path) of the registered query.
-RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 #: Up to so many rules become one expression; more are joined by host suffix.
 INLINE_RULES = 200
@@ -117,32 +117,64 @@ def filter_pages(pages: DataFrame, rules: list[tuple[str, str, str]], edges: Dat
     named = judged(parts.withColumn("host", host_of(whole)).withColumn("path", path_of(whole)), rules)
     of_part = named.groupBy("component").agg(F.max(F.col("hit.verdict") == "allow").alias("allows"), F.max(F.col("hit.verdict") == "block").alias("blocks")).where("allows or blocks")
     alias = parts.join(of_part, "component").select("node", F.when(F.col("allows"), "allow").otherwise("block").alias("alias"))
-    out = rows.join(alias, "node", "left")
+    # Rows without an address have no aliases; a key of their own deals them over all tasks.
+    own = F.concat(F.lit("\u0000"), F.xxhash64("page_id", F.monotonically_increasing_id()).cast("string"))
+    out = rows.withColumn("node", F.coalesce("node", own)).join(alias, "node", "left")
     return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", "alias", F.lit("allow")).alias("verdict"), F.when(F.col("hit").isNotNull(), "rule").when(F.col("alias").isNotNull(), "alias").otherwise("none").alias("reason"))
 
 
 def op7_url_filter(spark, sf_dir: str) -> DataFrame:
+    """The verdict of every row of ``pages`` by RULES; see ``filter_pages`` for nulls, repeats and pages without a rule."""
     return filter_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
 
 
-_HOST = r"coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
-_PATH = r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '')"
+def _sql_host(url: str) -> str:
+    return f"coalesce(translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}'), '')"
+
+
+def _sql_path(url: str) -> str:
+    return f"coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '')"
+
+
+def _sql_address(url: str) -> str:
+    rest = f"regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+    return f"case when contains({url}, '://') then {_sql_host(url)} || case when starts_with({rest}, '/') then '' else '/' end || {rest} end"
+
 
 #: The closure of the links is a recursive query; in DuckDB UNION stops it on cycles.
 OP7_SQL = f"""
-with recursive base as (select page_id, url, html, {_HOST} as host, {_PATH} as path,
-    regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0) as canon,
-    regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0) as meta from pages),
-addressed as (select *, case when contains(url, '://') then host || case when starts_with(path, '/') then '' else '/' end || regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) end as node from base),
-rules(verdict, h, p) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')),
-targets as (select node as a, unnest([nullif(regexp_extract(canon, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1), ''), nullif(regexp_extract(meta, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1), '')]) as url from addressed where node is not null),
-edges as (select a, {_HOST} || case when starts_with({_PATH}, '/') then '' else '/' end || regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) as b from targets where contains(url, '://')),
+with recursive base as (
+    select row_number() over () as rid, page_id, url, {_sql_host("url")} as host, {_sql_path("url")} as path, {_sql_address("url")} as node,
+        regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0) as canon,
+        regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0) as meta
+    from pages),
+rules(verdict, h, p) as (values {", ".join(repr(r) for r in RULES)}),
+raw as (
+    select *, unnest([nullif(regexp_extract(canon, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1), ''),
+                      nullif(regexp_extract(meta, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1), '')]) as target
+    from base where node is not null),
+links as (
+    select node, trim(replace(target, '&amp;', '&')) as t, regexp_extract(url, '(?s)^(.*?)://', 1) as scheme, host,
+        case when regexp_extract(path, '(?s)^(.*/)', 1) = '' then '/' else regexp_extract(path, '(?s)^(.*/)', 1) end as folder
+    from raw where target is not null),
+whole as (
+    select node, case when t = '' then null
+        when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t
+        when starts_with(t, '//') then scheme || ':' || t
+        when starts_with(t, '/') then scheme || '://' || host || t
+        when regexp_matches(t, '^[#?]|^[A-Za-z][A-Za-z0-9+.-]*:') then null
+        else scheme || '://' || host || folder || t end as url
+    from links),
+edges as (select distinct a, b from (select node as a, {_sql_address("url")} as b from whole) where b is not null and a <> b),
 both_ways as (select a, b from edges union select b, a from edges),
 reach(node, other) as (select a, a from both_ways union select r.node, e.b from reach r join both_ways e on r.other = e.a),
-hits as (select a.page_id, a.host, a.path, a.node, r.h || r.p as rule, r.verdict, row_number() over (partition by a.page_id, a.url order by length(r.h || r.p) desc) as k
-    from addressed a left join rules r on (a.host = r.h or ends_with(a.host, '.' || r.h)) and starts_with(a.path, r.p)),
+hits as (
+    select a.*, r.h || r.p as rule, r.verdict, row_number() over (partition by a.rid order by length(r.h || r.p) desc) as k
+    from base a left join rules r on (a.host = r.h or ends_with(a.host, '.' || r.h)) and starts_with(a.path, r.p)),
 seen as (select distinct other as node, split_part(other, '/', 1) as host, regexp_extract(other, '^[^/]*([^?]*)', 1) as path from reach),
-verdicts as (select s.node, arg_max(r.verdict, length(r.h || r.p)) as v from seen s join rules r on (s.host = r.h or ends_with(s.host, '.' || r.h)) and starts_with(s.path, r.p) group by 1),
+verdicts as (
+    select s.node, arg_max(r.verdict, length(r.h || r.p)) as v
+    from seen s join rules r on (s.host = r.h or ends_with(s.host, '.' || r.h)) and starts_with(s.path, r.p) group by 1),
 alias as (select r.node, case when bool_or(v.v = 'allow') then 'allow' else 'block' end as alias from reach r join verdicts v on r.other = v.node group by 1)
 select h.page_id, h.host, h.path, h.rule, coalesce(h.verdict, a.alias, 'allow') as verdict,
     case when h.rule is not null then 'rule' when a.alias is not null then 'alias' else 'none' end as reason
