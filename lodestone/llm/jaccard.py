@@ -6,8 +6,9 @@ The plan, with no pair of documents emitted that isn't needed:
    Equal sets are one class from here on. The same pass counts, for a fixed slice of
    the shingle space, in how many documents each shingle is.
 2. A second pass writes each class's prefix (rarest shingles first) as index entries.
-   The entries of one shingle are sorted by set size and position; blocks beyond the
-   size bound are skipped by binary search. Entries that have a partner within their
+   The entries of one shingle are sorted by set size and position. Entries of one size are
+   a block; blocks beyond the size bound are skipped whole, and in a block all positions
+   too far from the own one are skipped by two binary searches. Entries that have a partner within their
    bounds get their set's sketch, whose width follows the set's size, and go through
    the lists again: position and sketch leave a graph of possible links, and of each
    list only a spanning forest of it leaves the task. All filters are safe, so linked
@@ -30,13 +31,15 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegralType
 
 from .common import Tables, chunks, components, shingle_sets, small_batches, text_buffers
 
 #: Shingles in more documents than this may be ordered by their count; at most so many of them.
 HEAVY_FROM, HEAVY_MOST = 32, 1 << 20
-#: Entries of a block of one list; shingles of a block of one relation group.
-LIST_BLOCK, GROUP_BLOCK = 20_000, 4_000_000
+#: Entries of a block of one list; shingles and sets of a block of one relation group.
+LIST_BLOCK, GROUP_BLOCK, GROUP_SETS = 20_000, 4_000_000, 8192
 #: Shingles gathered before a task writes a run of counts.
 RUN = 4_000_000
 #: Bits of the filter that says which classes' sets are needed; its size never grows.
@@ -73,6 +76,8 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 def first_pass(docs: DataFrame, k: int, percent: int, ranges: int) -> DataFrame:
     """Rows of two kinds: (doc_id, n, cid, sketch) of each document, and (range, slots, counts) runs."""
+    kind = docs.schema["doc_id"].dataType
+    kind_arrow = to_arrow_type(kind)
     share, shift = np.uint64(counted_share(percent)), np.uint32(32 - ranges.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +90,7 @@ def first_pass(docs: DataFrame, k: int, percent: int, ranges: int) -> DataFrame:
             rows = [(r, _pack(slots[a:b]), number[a:b].astype("<u4").tobytes() if number[a:b].max() > 1 else None) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
             rows = [(r, s, None if c is None else zstandard.ZstdCompressor(level=1).compress(c)) for r, s, c in rows]
             none = pa.nulls(len(rows))
-            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names)
+            return pa.RecordBatch.from_arrays([none.cast(kind_arrow), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names)
 
         for b in batches:
             data, off = text_buffers(b.column(1))
@@ -106,7 +111,7 @@ def first_pass(docs: DataFrame, k: int, percent: int, ranges: int) -> DataFrame:
         if held:
             yield counts()
 
-    return docs.mapInArrow(run, "doc_id long, n int, cid binary, sketch binary, range int, slots binary, counts binary")
+    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, n int, cid binary, sketch binary, range int, slots binary, counts binary")
 
 
 def heavy_slots(runs: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
@@ -238,25 +243,49 @@ def by_sketch(n_i, n_j, x_i: np.ndarray, x_j: np.ndarray, percent: int) -> np.nd
     return np.bitwise_count(x_i ^ x_j).sum(-1, dtype=np.int64) <= both - 2 * -(-both * percent // (100 + percent))
 
 
+def position_runs(n: np.ndarray, pos: np.ndarray, percent: int):
+    """For a list sorted by size then position: a function from an entry to its candidates before it.
+
+    Entries of one size are one block, sorted by position. Of a block, the positions at which
+    the rest of both sets can still overlap enough are one interval, so two binary searches
+    skip all else, block by block; blocks of too small a size are skipped as a whole.
+    """
+    sizes, starts = np.unique(n, return_index=True)
+    span = int(pos.max()) + 2
+    key = n * span + pos
+
+    def candidates(i: int) -> np.ndarray:
+        first, last = np.searchsorted(sizes, need(int(n[i]), percent)), np.searchsorted(sizes, n[i], "right")
+        block = sizes[first:last]
+        least = -(-(n[i] + block) * percent // (100 + percent))
+        low = np.clip(pos[i] + least - n[i], 0, span - 1)
+        high = np.clip(pos[i] + block - least, -1, span - 1)
+        a = np.searchsorted(key, block * span + low)
+        z = np.minimum(np.searchsorted(key, block * span + high, "right"), i)
+        size = np.where(block >= least, np.maximum(0, z - a), 0)
+        return np.repeat(a - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+    return candidates
+
+
 def list_forest(n: np.ndarray, pos: np.ndarray, bits: list[np.ndarray], side: np.ndarray, cross: bool, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the possible links of one list, sorted by size then position."""
     size, out = len(n), []
     label = np.arange(size)
-    lows = np.searchsorted(n, -(-n * percent // 100))
+    candidates = position_runs(n, pos, percent)
     # Widths grow with n, so the sketches of one width are one run.
     width = np.array([len(x) for x in bits])
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(width)) + 1, [size]))
     runs = [(int(a), int(z), np.stack(bits[a:z])) for a, z in zip(cuts[:-1], cuts[1:])]
     for i in range(1, size):
-        lo = int(lows[i])
-        if lo == i:
-            continue
-        js = lo + np.flatnonzero(by_position(n[i], n[lo:i], pos[i], pos[lo:i], percent))
+        js = candidates(i)
         if cross:
             js = js[side[js] != side[i]]
+        if not len(js):
+            continue
         keep = [js[:0]]
         for a, z, matrix in runs:
-            own = js[(js >= a) & (js < z)]
+            own = js[np.searchsorted(js, a) : np.searchsorted(js, z)]
             if len(own):
                 keep.append(own[by_sketch(n[i], n[own], fold(bits[i], matrix.shape[1]), matrix[own - a], percent)])
         js = np.concatenate(keep)
@@ -302,8 +331,24 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 16) -
         yield cut(True)
 
 
+def dealt_blocks(table: pa.Table) -> pa.Table:
+    """The entries of one whole list, each sent to every pair of blocks that holds its own.
+
+    The list is cut by its measured length, as its shingle's documents weren't counted.
+    """
+    own = table.column(5).to_numpy()
+    m = -(-len(own) // LIST_BLOCK)
+    mine = (own.view(np.uint64) >> np.uint64(20)).astype(np.int64) % m
+    at, others = np.repeat(np.arange(len(own)), m), np.tile(np.arange(m), len(own))
+    low, high = np.minimum(mine[at], others), np.maximum(mine[at], others)
+    out = table.take(pa.array(at))
+    return out.set_column(1, "block", pa.array((low * m + high + 1).astype(np.int32))).set_column(2, "side", pa.array(mine[at].astype(np.int32)))
+
+
 def partnered(entries: DataFrame, percent: int) -> DataFrame:
-    """The entries that have another class within their bounds in their list, once for each class."""
+    """The entries that have another class within their bounds in their list, once for each class.
+
+    What is left of a whole list is cut here if it is long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in grouped(batches, 2):
@@ -322,6 +367,14 @@ def partnered(entries: DataFrame, percent: int) -> DataFrame:
                     pairs = by_position(m[:, None], m[None, :], pos[once][:, None], pos[once][None, :], percent) & (np.minimum(m[:, None], m[None, :]) * 100 >= np.maximum(m[:, None], m[None, :]) * percent)
                     others = pairs.sum(1)
                 keep[once[others > 1]] = True
+            left = np.add.reduceat(keep, starts[:-1], dtype=np.int64) if len(table) else keep
+            block = table.column(1).to_numpy()
+            for g in np.flatnonzero(left > LIST_BLOCK).tolist():
+                s, e = int(starts[g]), int(starts[g + 1])
+                if block[s] == 0:
+                    picked = table.slice(s, e - s).filter(pa.array(keep[s:e]))
+                    keep[s:e] = False
+                    yield from dealt_blocks(picked).to_batches(max_chunksize=1 << 16)
             if keep.any():
                 yield from table.filter(pa.array(keep)).to_batches()
 
@@ -478,12 +531,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     links reach; n_links counts the other sets that a row's set links to (rows with equal
     sets are one). Null and empty texts and texts of white space have no set, no links, and
     are their own component. Null doc_ids take part as texts but name no component unless
-    nothing else does. Other columns are ignored; an empty table gives no rows.
+    nothing else does. Ids may be of any type that can be ordered and isn't nested. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     tables = Tables(spark, "jaccard")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own_id = F.col(id_col).cast("long") if isinstance(docs.schema[id_col].dataType, IntegralType) else F.col(id_col)
+    docs = docs.select(own_id.alias("doc_id"), F.col(text_col).alias("text"))
     ranges = 1 << max(2, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     first = tables.write(first_pass(docs, k, percent, ranges))
     heavy = spark.sparkContext.broadcast(heavy_slots(first.where("range is not null"), tables))
@@ -501,7 +555,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     bits = spark.sparkContext.broadcast(class_filter(nodes))
 
     sized = nodes.join(classes, nodes["node"] == classes["cid"]).select("cid", F.col("component").alias("part"), "n")
-    weight = sized.groupBy("part").agg(F.sum("n").alias("w")).select("part", F.expr(f"cast((w + {GROUP_BLOCK - 1}) div {GROUP_BLOCK} as int)").alias("m"))
+    blocks = F.expr(f"cast(greatest((w + {GROUP_BLOCK - 1}) div {GROUP_BLOCK}, (c + {GROUP_SETS - 1}) div {GROUP_SETS}) as int)")
+    weight = sized.groupBy("part").agg(F.sum("n").alias("w"), F.count("*").alias("c")).select("part", blocks.alias("m"))
     sized = sized.join(weight, "part")
     own = F.conv(F.hex(F.substring("cid", 5, 4)), 16, 10).cast("long") % F.col("m")
     sets = needed_sets(docs, k, bits).join(sized, "cid").withColumn("side", own.cast("int"))
@@ -517,11 +572,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     named = classes.select("cid", "rep").join(degree, "cid", "left").join(parts, F.col("rep") == F.col("node"), "left")
     named = tables.write(named.select("cid", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     tables.drop(links)
-    out = rows.join(named, "cid", "left")
+    # Rows without a set need no look-up, so their null keys meet in no task.
+    none = rows.where("cid is null").select("doc_id", "n", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("component"), F.lit(0).cast("long").alias("n_links"))
+    out = rows.where("cid is not null").join(named, "cid").select("doc_id", "n", "component", "n_links").union(none)
     return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Components of all rows of ``documents`` by 3-word shingles at 90 percent; see ``jaccard_components``."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90)
 
 

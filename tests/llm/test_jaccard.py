@@ -76,6 +76,40 @@ def test_one_large_group_in_blocks(documents, monkeypatch):
     monkeypatch.setattr(jaccard, "LIST_BLOCK", 30)
     monkeypatch.setattr(jaccard, "GROUP_BLOCK", 4000)
     check(documents(texts), 3, 90)
+    monkeypatch.setattr(jaccard, "GROUP_BLOCK", 4_000_000)
+    monkeypatch.setattr(jaccard, "GROUP_SETS", 25)
+    check(documents(texts), 3, 90)
+
+
+def test_uncounted_long_lists_are_cut(documents, monkeypatch):
+    r = random.Random(8)
+    monkeypatch.setattr(jaccard, "counted_share", lambda percent: 0)
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", 20)
+    check(documents(corpus(9, 40, (30, 40)) + [f"a b c d e f g h i j {r.randrange(3)} k l m n o p q r s t {r.randrange(30)}" for _ in range(120)]), 1, 80)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_position_runs_are_the_position_test(percent):
+    import numpy as np
+
+    r = np.random.default_rng(percent)
+    n = np.sort(r.integers(1, 40, 300))
+    pos = np.array([r.integers(0, x) for x in n])
+    order = np.lexsort((pos, n))
+    n, pos = n[order], pos[order]
+    candidates = jaccard.position_runs(n, pos, percent)
+    for i in range(1, len(n)):
+        js = np.arange(i)
+        want = js[(n[js] >= jaccard.need(int(n[i]), percent)) & jaccard.by_position(n[i], n[js], pos[i], pos[js], percent)]
+        assert candidates(i).tolist() == want.tolist()
+
+
+def test_ids_of_bytes(documents):
+    texts = corpus(3, 40)
+    docs = documents(texts)
+    named = docs.withColumn("doc_id", F.encode(F.lpad(F.col("doc_id").cast("string"), 4, "0"), "UTF-8"))
+    got = {int(r.doc_id): int(r.component_id) for r in jaccard.jaccard_components(named, 3, 80).collect()}
+    assert got == {i: c for i, (_, c, _) in brute(list(enumerate(texts)), 3, 80).items()}
 
 
 def test_long_sets_use_wider_sketches(documents):
