@@ -304,19 +304,22 @@ def predictions(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray,
     return names[pred].tolist(), np.clip(score, 0, 1), words, turns, np.clip(sure, 0, 1)
 
 
-def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None = None, prefix: str = "lang_") -> DataFrame:
     """docs with lang_pred, lang_score, lang_words, lang_switches and lang_sure; all other columns stay.
 
+    The new columns take the place of others of their names; ``prefix`` gives them other ones.
+
     lang_pred is the language with most letters by the words' posteriors, lang_score its
     share. lang_sure is the mean over letters of the posterior of their word's likeliest language,
     whichever it is: near 1 for text of learned languages, switched or not, and lower for others
     and for junk. ``und`` and 0 where text is null, empty or without a letter, or nothing could be
     learned. Rows that repeat get equal answers; equal shares go to the first language by name.
+    Very long texts are read whole; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(model or fit(docs))
-    names = ["lang_pred", "lang_score", "lang_words", "lang_switches", "lang_sure"]
+    names = [prefix + x for x in ("pred", "score", "words", "switches", "sure")]
     docs = docs.drop(*names)
     at = docs.columns.index("text")
 
@@ -361,6 +364,7 @@ def label_spans(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op1_crf_langid(spark, sf_dir: str) -> DataFrame:
+    """The language of every row of ``documents``, learned from rows that aren't held out; see ``identify`` for nulls and ties."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify(docs.select("doc_id", "text"), fit(docs))
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_words").alias("n_words"), F.col("lang_switches").alias("n_switches"))
