@@ -3,7 +3,8 @@
 A word's score for a language is a sum of learned weights of its byte n-grams (with its
 borders), its prefix and suffix, and of the word itself if the lexicon has it. Learned
 transitions tie neighbouring words, so words of code-switched text are labelled by
-forward-backward. Chains are runs of CHAIN words of one document.
+forward-backward. A document is one chain of all its words; it is worked off in blocks of
+BLOCK words whose messages are carried over the borders exactly.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import chunks, small_batches, text_buffers, word_bounds, word_hashes
 
-#: Words of a chain.
-CHAIN = 64
+#: Words of a block of a chain (all blocks advance together), and of a training chain.
+BLOCK = 64
 #: The training sample: rows in all (shared among the languages) and bytes of a text that are used at most.
 TRAIN_ROWS, TRAIN_BYTES = 800, 1 << 14
+#: Rows of each language, whatever TRAIN_ROWS says.
+LEAST_ROWS = 20
 #: Passes over the sample, chains of a step, and the learning rate.
 EPOCHS, STEP_CHAINS, RATE = 3, 256, 0.5
 #: Slots of the hashed n-gram and affix tables.
@@ -125,20 +128,29 @@ class Model:
         return out
 
 
-def chains(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chain and place in it of each word, given the words' documents in order."""
+def blocks(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Block and place in it of each word, given the words' documents in order, and each block's number in its document."""
     if not len(row):
-        return row, row
+        return row, row, row
     new = np.flatnonzero(np.diff(row, prepend=-1))
     place = np.arange(len(row)) - np.repeat(new, np.diff(np.append(new, len(row))))
-    place %= CHAIN
-    return np.cumsum(place == 0) - 1, place
+    number, place = place // BLOCK, place % BLOCK
+    return np.cumsum(place == 0) - 1, place, number[place == 0]
 
 
-def forward_backward(emission: np.ndarray, chain: np.ndarray, place: np.ndarray, turn: np.ndarray, begin: np.ndarray, pairs: bool = False):
+def unit(x: np.ndarray, axes: int | tuple[int, int]) -> np.ndarray:
+    """x scaled to sum 1 over the axes; a tiny floor keeps it above 0."""
+    x = x + 1e-30
+    return x / x.sum(axes, keepdims=True)
+
+
+def forward_backward(emission: np.ndarray, chain: np.ndarray, place: np.ndarray, turn: np.ndarray, begin: np.ndarray, pairs: bool = False, number: np.ndarray | None = None):
     """Posterior of each word's labels; with ``pairs`` also the expected transitions and the first words' posteriors.
 
-    All chains advance together, scaled at each step.
+    All chains advance together, scaled at each step. With ``number`` chains are blocks: one
+    whose number isn't 0 goes on where the one before ends. The products of their emissions and
+    transitions say how blocks pass messages on; these are chained over each document's
+    blocks first, so every block starts and ends with the messages of the whole document.
     """
     n, labels = int(chain[-1]) + 1, emission.shape[1]
     steps = int(place.max()) + 1
@@ -150,8 +162,33 @@ def forward_backward(emission: np.ndarray, chain: np.ndarray, place: np.ndarray,
     e = np.zeros((steps, n, labels), np.float32)
     e[place, rank[chain]] = np.exp(emission - emission.max(1, keepdims=True))
     t_ = np.exp(turn - turn.max())
+    first = np.tile(np.exp(begin - begin.max()), (n, 1))
     a, b = np.zeros_like(e), np.ones_like(e)
-    now = e[0] * np.exp(begin - begin.max())
+    if number is not None and number.any():
+        many = np.zeros(n, bool)
+        many[:-1] |= number[1:] > 0
+        many |= number > 0
+        own = np.flatnonzero(many[order])  # places in the order of size of the blocks of longer documents
+        at = np.full(n, -1)
+        at[order[own]] = np.arange(len(own))
+        moves = np.zeros((len(own), labels, labels), np.float32)
+        moves[:, np.arange(labels), np.arange(labels)] = e[0, own]
+        for t in range(1, steps):
+            m = int(np.searchsorted(own, alive[t]))
+            moves[:m] = unit((moves[:m] @ t_) * e[t, own[:m], None, :], (1, 2))
+        last = int(number.max())
+        by_number = np.argsort(number, kind="stable")
+        cut = np.searchsorted(number[by_number], np.arange(last + 2))
+        for k in range(1, last + 1):
+            now = by_number[cut[k] : cut[k + 1]]
+            sent = np.einsum("ij,ijk->ik", first[rank[now - 1]], moves[at[now - 1]])
+            first[rank[now]] = unit(unit(sent, 1) @ t_, 1)
+        back = np.ones((n, labels), np.float32)
+        for k in range(last, 0, -1):
+            now = by_number[cut[k] : cut[k + 1]]
+            back[now - 1] = unit(unit(np.einsum("ijk,ik->ij", moves[at[now]], back[now]), 1) @ t_.T, 1)
+        b[size - 1, rank] = back
+    now = e[0] * first
     a[0] = now / np.maximum(now.sum(1, keepdims=True), 1e-30)
     for t in range(1, steps):
         m = alive[t]
@@ -190,7 +227,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
         return model
     rng = np.random.Generator(np.random.PCG64(seed))
     entry, gold = model.entry(w.key), label[w.row]
-    chain, place = chains(w.row)
+    _, place, _ = blocks(w.row)
     first = np.append(np.flatnonzero(place == 0), len(place))
     runs = list(zip(first[:-1].tolist(), first[1:].tolist()))
     sums = [np.full_like(t, 1e-2) for t in model.tables]
@@ -203,7 +240,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
                 if x % 2:
                     sequences.append(np.arange(s, z))
                 else:
-                    parts, room = [], CHAIN
+                    parts, room = [], BLOCK
                     while room > 0:
                         s, z = picked[int(rng.integers(len(picked)))]
                         a = int(rng.integers(s, z))
@@ -248,19 +285,21 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Train on ``rows`` labelled documents at most, the same number of each language, chosen by a
-    hash of doc_id among those that have text and aren't held out. Of a text of more than
-    TRAIN_BYTES only the beginning is learned, TRAIN_BYTES at most."""
+    """Train on a documented sample: the same number of labelled documents of each language, chosen by a
+    hash of doc_id among those that have text and aren't held out; ``rows`` in all, but LEAST_ROWS of a
+    language if it has them. Of a text of more than TRAIN_BYTES only the beginning is learned,
+    TRAIN_BYTES at most; of rows that share doc_id and language one."""
     may = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") > 0) & ~is_held_out(F.col("doc_id"))).select("doc_id", "lang")
     kinds = may.agg(F.approx_count_distinct("lang").alias("n")).first().n
     if not kinds:
         return Model([], np.zeros(0, np.uint64))
-    each = max(20, rows // kinds)
+    each = max(LEAST_ROWS, rows // kinds)
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = may.withColumn("h", F.xxhash64("doc_id")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select("doc_id").collect()
     wanted = sorted({r.doc_id for r in ids})
     start = F.when(F.octet_length("text") <= TRAIN_BYTES, F.col("text")).otherwise(F.substring("text", 1, TRAIN_BYTES // 4))
-    got = docs.where(F.col("doc_id").isin(wanted) & (F.octet_length("text") > 0) & F.col("lang").isNotNull()).select("doc_id", "lang", start.alias("text")).collect()
+    picked = docs.where(F.col("doc_id").isin(wanted) & (F.octet_length("text") > 0) & F.col("lang").isNotNull())
+    got = picked.select("doc_id", "lang", start.alias("text")).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     got = sorted(got, key=lambda r: (r.doc_id, r.lang, r.text))
     model = train([r.text for r in got], [r.lang for r in got])
     sure = predictions(model, pa.array([r.text for r in got], pa.string()))[4]
@@ -273,7 +312,8 @@ def read_labels(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[Words,
     w = featured(data, off)
     if not len(w.row) or not model.langs:
         return w, np.zeros((len(w.row), len(model.langs)), np.float32)
-    return w, forward_backward(model.emissions(w, model.entry(w.key)), *chains(w.row), model.turn, model.begin)
+    block, place, number = blocks(w.row)
+    return w, forward_backward(model.emissions(w, model.entry(w.key)), block, place, model.turn, model.begin, number=number)
 
 
 def predictions(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -44,6 +44,21 @@ def test_forward_backward_is_exact():
         at += s
 
 
+def test_messages_cross_the_borders_of_blocks(monkeypatch):
+    """Blocks of two words give the marginals of whole documents."""
+    monkeypatch.setattr(langid, "BLOCK", 2)
+    rng = np.random.default_rng(4)
+    sizes = [1, 7, 2, 5, 3, 8]
+    row = np.repeat([0, 2, 3, 5, 6, 9], sizes)
+    e = rng.normal(size=(len(row), 3)).astype(np.float32)
+    turn, begin = rng.normal(size=(3, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32)
+    block, place, number = langid.blocks(row)
+    got, at = langid.forward_backward(e, block, place, turn, begin, number=number), 0
+    for s in sizes:
+        assert np.allclose(got[at : at + s], brute_marginals(e[at : at + s], turn, begin), atol=1e-4)
+        at += s
+
+
 def sample_model():
     rows = pq.read_table(f"{DATA}/documents.parquet").to_pandas().head(300)
     return langid.train(rows.text.tolist(), rows.lang.tolist()), rows
