@@ -34,6 +34,70 @@ def test_laws(documents, awkward, n):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def brute_order(rows, bits=6):
+    """Ranks of (doc_id, text, lang, source) by the stated order, one row at a time."""
+    cells = []
+    for d in (2, 3, 4):
+        values = [(len(r[1] or "") if d == 4 else r[d]) for r in rows]
+        known = sorted((v.encode() if isinstance(v, str) else v) for v in values if v is not None)
+        n = len(known)
+        cuts = sorted({known[i] for i in range(1, n) if i * (1 << bits) // n != (i - 1) * (1 << bits) // n})
+        cells.append([0 if v is None else sum(c <= (v.encode() if isinstance(v, str) else v) for c in cuts) * ((1 << bits) - 1) // max(1, len(cuts)) for v in values])
+    return hilbert.hilbert_index(np.array(cells).T, bits).tolist()
+
+
+def test_curve_is_brute_force(documents):
+    import random
+
+    r = random.Random(6)
+    sources = ["https://a.example/1", "https://a.example/2", "https://b.example/", "https://a", None]
+    texts = ["x" * r.choice([0, 3, 3, r.randrange(400)]) for _ in range(180)]
+    rows = [(i, t, r.choice(["en", "fr", None]), r.choice(sources)) for i, t in enumerate(texts)]
+    docs = documents(texts).sparkSession.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x.curve_index for x in hilbert.shards(docs).collect()}
+    assert [got[i] for i in range(180)] == brute_order(rows)
+    assert len(set(got.values())) > 40
+
+
+def test_equal_texts_stay_together(documents):
+    """Groups of two to nine rows, and one of a third of all: only a border that can't move tears one."""
+    import random
+
+    r = random.Random(2)
+    texts = [f"text {i} " + "w " * (i % 50) for i in range(300) for _ in range(1 + i % 9 if i % 3 == 0 else 1)] + ["hot text"] * 350
+    r.shuffle(texts)
+    docs = documents(texts).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 5)).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 7))
+    rows = hilbert.shards(docs).collect()
+    size = [sum(x.shard == k for x in rows) for k in range(24)]
+    assert max(size) - min(size) <= 1
+    of, order = {}, sorted(rows, key=lambda x: (x.shard, x.slot))
+    for place, x in enumerate(order):
+        of.setdefault(texts[x.doc_id], []).append(place)
+    assert all(p[-1] - p[0] == len(p) - 1 for p in of.values())
+    torn = sum(texts[a.doc_id] == texts[b.doc_id] and a.shard != b.shard for a, b in zip(order, order[1:]))
+    starts = {p[0] for p in of.values()}
+    wide, more = divmod(len(texts), 24)
+    from itertools import combinations
+
+    best = min(sum(k * wide + sum(c < k for c in wider) not in starts for k in range(1, 24)) for wider in combinations(range(24), min(more, 2))) if more <= 2 else None
+    assert torn <= 23 and (best is None or torn == best)
+
+
+def test_borders_are_brute_force():
+    import random
+    from itertools import combinations
+
+    r = random.Random(7)
+    for _ in range(60):
+        total, shards = r.randint(6, 40), 6
+        whole = {x for x in range(total) if r.random() < 0.4}
+        got = hilbert.best_borders(total, shards, whole)
+        wide, more = divmod(total, shards)
+        cost = min(sum(k * wide + sum(c < k for c in wider) not in whole for k in range(1, shards)) for wider in combinations(range(shards), more))
+        assert got[0] == 0 and got[-1] == total and sorted(np.diff(got))[0] >= wide and max(np.diff(got)) <= wide + 1
+        assert sum(x not in whole for x in got[1:-1]) == cost
+
+
 def test_written_shards_prune(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     stats = hilbert.write_shards(docs, f"file://{tmp_path}/s", 8).collect()
