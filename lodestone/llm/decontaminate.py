@@ -1,7 +1,7 @@
 """Benchmark decontamination by a positional inverted index.
 
-The index is document-partitioned: each row holds the postings of a run of documents,
-sorted by term and position, for the terms that the benchmark uses. Positions go on from
+The index is document-partitioned: each row holds the postings of all words of a run of
+documents, sorted by term and position, so it serves any benchmark. Positions go on from
 document to document with one empty place between, so no phrase crosses a border. It is
 written once, needs no shuffle, and a query reads nothing else.
 """
@@ -25,8 +25,6 @@ WINDOW = 8
 ROW_BYTES = 4 << 20
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark is searched in as many blocks.
 BLOCK_BYTES = 8 << 20
-#: Terms that are broadcast to choose what is indexed; a benchmark with more has every word indexed.
-MOST_TERMS = 4 << 20
 #: Windows looked up at once.
 WINDOW_RUN = 20_000
 
@@ -55,19 +53,16 @@ def _grow(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
-def build_index(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
-    """Index rows (doc_ids, n_words, terms, sizes, gaps, index_id) over whole texts for sorted term
-    hashes, or for all words.
+def build_index(docs: DataFrame) -> DataFrame:
+    """Index rows (doc_ids, n_words, terms, sizes, gaps, index_id) over all words of whole texts.
 
     ``gaps`` are the steps between ascending positions of each term, its first position first.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    sent = spark.sparkContext.broadcast(terms)
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen, made = sent.value, TaskContext.get().partitionId() << 32
+        made = TaskContext.get().partitionId() << 32
         for b in batches:
             data, off = text_buffers(b.column(1))
             for lo, hi, part, at in chunks(data, off, ROW_BYTES):
@@ -77,17 +72,14 @@ def build_index(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
                     hashes.append(h)
                     sizes.append(np.diff(first))
                 h, n = np.concatenate(hashes), np.concatenate(sizes)
-                known = np.unique(h) if chosen is None else chosen
                 place = np.arange(len(h)) + np.repeat(np.arange(len(n)), n)
-                term = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                hit = np.flatnonzero(known[term] == h) if len(known) else np.zeros(0, np.int64)
-                order = hit[np.argsort(term[hit], kind="stable")]
-                t, p = term[order], place[order]
+                order = np.argsort(h, kind="stable")
+                t, p = h[order], place[order]
                 new = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
                 gaps = np.diff(p, prepend=0)
                 gaps[new] = p[new]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column(0).slice(lo, hi - lo).to_pylist()], pa.list_(b.schema.field(0).type)), pa.array([_shrink(n)], pa.binary()), pa.array([known[t[new]].tobytes()], pa.binary()), pa.array([_shrink(np.diff(np.append(new, len(t))))], pa.binary()), pa.array([_shrink(gaps)], pa.binary()), pa.array([made])],
+                    [pa.array([b.column(0).slice(lo, hi - lo).to_pylist()], pa.list_(b.schema.field(0).type)), pa.array([_shrink(n)], pa.binary()), pa.array([t[new].tobytes()], pa.binary()), pa.array([_shrink(np.diff(np.append(new, len(t))))], pa.binary()), pa.array([_shrink(gaps)], pa.binary()), pa.array([made])],
                     ["doc_ids", "n_words", "terms", "sizes", "gaps", "index_id"],
                 )
                 made += 1
@@ -104,20 +96,23 @@ class Postings:
         self.base = np.concatenate(([0], np.cumsum(self.n + 1)))
         size = _grow(sizes).astype(np.int64)
         starts = np.concatenate(([0], np.cumsum(size)))
-        steps = np.cumsum(_grow(gaps).astype(np.int64))
-        before = np.concatenate(([0], steps))[starts[:-1]]
-        places = steps - np.repeat(before, size)
         own = np.frombuffer(terms, np.uint64)
-        at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-        wanted = np.flatnonzero(known[at] == own) if len(known) else np.zeros(0, np.int64)
-        #: Of each query term: first posting and number.
+        # The few query terms are looked for in the row's many.
+        at = np.minimum(np.searchsorted(own, known), max(0, len(own) - 1))
+        have = np.flatnonzero(own[at] == known) if len(own) else np.zeros(0, np.int64)
+        #: Of each query term: first posting (among those of query terms) and number.
         self.first, self.size = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
-        self.first[at[wanted]], self.size[at[wanted]] = starts[wanted], size[wanted]
-        self.places = places
-        # One sorted list of (term, place), terms numbered as in this row: an offset-adjusted lookup is a binary search.
+        self.size[have] = size[at[have]]
+        self.first[have] = np.cumsum(self.size[have]) - self.size[have]
+        steps = np.cumsum(_grow(gaps).astype(np.int64))
+        before = np.concatenate(([0], steps))[starts[at[have]]]
+        number = self.size[have]
+        of = np.repeat(np.arange(len(have)), number)
+        self.places = steps[starts[at[have]][of] + np.arange(len(of)) - self.first[have][of]] - before[of]
+        # One sorted list of (term, place), terms numbered among those found: an offset-adjusted lookup is a binary search.
         self.rank = np.full(len(known), -1, np.int64)
-        self.rank[at[wanted]] = wanted
-        self.keys = np.repeat(np.arange(len(own)), size) << 40 | places
+        self.rank[have] = np.arange(len(have))
+        self.keys = of << 40 | self.places
 
     def lists(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of each of the terms, one list after the other, and which term of the argument each is of."""
@@ -199,19 +194,20 @@ class Phrases:
             self.order = np.argsort(cost, axis=1, kind="stable")
 
 
-def term_counts(index: DataFrame, terms: np.ndarray | None = None) -> dict[int, int]:
-    """Occurrences of each term of a benchmark block in all documents.
-
-    Without ``terms`` the index holds the terms of one block alone.
-    """
+def term_counts(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
+    """Occurrences of each of the sorted terms (of one benchmark block) in all documents."""
     sent = index.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, wanted = np.zeros(len(sent.value), np.int64), sent.value
         for b in batches:
-            for terms, sizes in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own, number = np.frombuffer(terms, np.uint64), _grow(sizes).astype(np.int64)
-                keep = slice(None) if sent.value is None else np.isin(own, sent.value)
-                yield pa.RecordBatch.from_arrays([pa.array(own[keep].view(np.int64)), pa.array(number[keep])], ["term", "n"])
+            for own, sizes in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own, number = np.frombuffer(own, np.uint64), _grow(sizes).astype(np.int64)
+                if len(own) and len(wanted):
+                    at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+                    total += np.where(own[at] == wanted, number[at], 0)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(total[some])], ["term", "n"])
 
     return {r.term: r.n for r in index.select("terms", "sizes").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
@@ -286,19 +282,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
     reported; a null item_id is named by the empty string. Benchmark rows of one item_id are one item. Other columns are ignored.
     """
     tables = Tables(docs.sparkSession, "decontaminate")
-    terms: np.ndarray | None = np.zeros(0, np.uint64)
-    blocks = 0
-    for phrases in item_blocks(benchmark, window, whole_only):
-        blocks += 1
-        terms = None if terms is None or len(terms) > MOST_TERMS else np.union1d(terms, phrases.known)
-    index = tables.write(build_index(docs, terms))
-    counts = term_counts(index) if blocks == 1 else {}
+    index = tables.write(build_index(docs))
     parts = []
-    for phrases in [phrases] if blocks == 1 else item_blocks(benchmark, window, whole_only):
-        phrases.rank(counts or term_counts(index, phrases.known))
+    for phrases in item_blocks(benchmark, window, whole_only):
+        phrases.rank(term_counts(index, phrases.known))
         parts.append(search(index, phrases))
     out = parts[0]
-    if blocks > 1:
+    if len(parts) > 1:
         both = tables.write(parts[0])
         for p in parts[1:]:
             both = both.unionByName(tables.write(p))
@@ -310,6 +300,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Benchmark items in every row of ``documents``; see ``contamination`` for nulls, repeats and empty tables."""
     found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     names = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", names.alias("items_sha256"), (F.col("n_items") >= 2).alias("contaminated"))

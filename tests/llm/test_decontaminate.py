@@ -49,8 +49,8 @@ def test_short_items_can_be_left_out(spark, documents):
 
 def test_proximity(documents):
     phrases = decontaminate.Phrases([("p", decontaminate.text_words(["red green blue"])[0])], 8)
-    index = decontaminate.build_index(documents(["blue x green y red", "red a b c d e f green g h blue", "red green", "blue", "red green blue"]), phrases.known)
-    phrases.rank(decontaminate.term_counts(index))
+    index = decontaminate.build_index(documents(["blue x green y red", "red a b c d e f green g h blue", "red green", "blue", "red green blue"]))
+    phrases.rank(decontaminate.term_counts(index, phrases.known))
     got = {r.doc_id: list(r["items"]) for r in decontaminate.search(index, phrases, within=4).collect()}
     assert got == {0: ["p"], 1: [], 2: [], 3: [], 4: ["p"]}
 
@@ -77,3 +77,37 @@ def test_repeated_benchmark_rows_are_one_item(spark, documents):
     bench = spark.createDataFrame([("a", text), ("a", text), (None, "other words of a null item here and more"), (None, "other words of a null item here and more")], "item_id string, text string")
     got = decontaminate.contamination(documents([text, "other words of a null item here and more"]), bench).orderBy("doc_id").collect()
     assert [(r.n_items, r["items"]) for r in got] == [(1, ["a"]), (1, [""])]
+
+
+def test_one_stored_index_serves_any_benchmark(spark, documents, tmp_path):
+    """Exact and proximity matches of random phrases by a written index, against brute force."""
+    import random
+
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcdefghij") for _ in range(r.randrange(0, 60))) for _ in range(40)] + [None, ""]
+    path = f"file://{tmp_path}/index"
+    decontaminate.build_index(documents(texts).coalesce(2)).write.parquet(path)
+    index = spark.read.parquet(path)
+    for size, within in ((2, None), (3, None), (3, 2), (4, 3)):
+        items = [(f"p{i}", " ".join(r.choice("abcdefghijk") for _ in range(size))) for i in range(6)]
+        phrases = decontaminate.Phrases(list(zip([n for n, _ in items], decontaminate.text_words([t for _, t in items]))), 8)
+        counts = decontaminate.term_counts(index, phrases.known)
+        phrases.rank(counts)
+        got = {x.doc_id: list(x["items"]) for x in decontaminate.search(index, phrases, within=within).collect()}
+        number = {w: sum((t or "").split().count(w) for t in texts) for w in "abcdefghijk"}
+        for i, t in enumerate(texts):
+            w, want, told = (t or "").split(), set(), set()
+            for name, item in items:
+                own = item.split()
+                if within is None:
+                    hit = any(w[j : j + size] == own for j in range(len(w)))
+                else:
+                    rarest = min(own, key=lambda x: number[x])
+                    hit = any(w[j] == rarest and all(x in w[max(0, j - within) : j + within + 1] for x in own) for j in range(len(w)))
+                    ties = [x for x in own if number[x] == number[rarest]]
+                    if len(set(ties)) > 1:  # the tied term that comes first leads; equal counts leave the choice open
+                        continue
+                told.add(name)
+                if hit:
+                    want.add(name)
+            assert want == told & set(got[i]), (i, want, got[i])
