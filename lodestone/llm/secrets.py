@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,6 +78,63 @@ def core(string: str) -> str:
     return best if len(best) >= SHORTEST else string
 
 
+#: Words of the corpus that go to the dictionary: those around candidates in most documents.
+MOST_WORDS = 4096
+#: Different words a task gathers before it writes their counts.
+RUN = 200_000
+_NAME = re.compile(rb"[A-Z]?[a-z]{3,20}|[A-Z]{3,20}")
+_MIXED = re.compile(rb"[A-Za-z0-9+/_.=-]*[0-9][A-Za-z0-9+/_.=-]*")
+
+
+def candidates(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends (in bytes) and rows of the strings that may be secrets: long, of letters and digits."""
+    s, e, row = word_bounds(part, at, _TOKEN)
+    digits, letters = (np.concatenate(([0], np.cumsum(k[part]))) for k in (_DIGIT, _ALPHA))
+    pick = np.flatnonzero((e - s >= SHORTEST) & (digits[e] > digits[s]) & (letters[e] > letters[s]))
+    return s[pick], e[pick], row[pick]
+
+
+def identifiers(docs: DataFrame, most: int = MOST_WORDS) -> list[str]:
+    """The ``most`` words that stand around candidates in most rows, rarest first, so that frequent ones are near the text.
+
+    Identifiers are cut at case, digits and underscores; strings that mix letters and digits
+    give none, so copies of a secret don't make it known. All rows are counted; a task writes
+    counts of words, not words. Ties go by the word.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def written() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+        for b in batches:
+            data, off = text_buffers(b.column(0))
+            for _, _, part, at in chunks(data, off):
+                raw, bounds = part.tobytes(), at.tolist()
+                s, e, row = (x.tolist() for x in candidates(part, at))
+                seen: set[bytes] = set()
+                last = -1
+                for i, r in enumerate(row):
+                    if r != last:
+                        counts.update(seen)
+                        seen, last, done = set(), r, bounds[r]
+                    low, high = max(done, s[i] - SURROUND), min(bounds[r + 1], e[i] + SURROUND)
+                    if low < high:
+                        seen.update(w.lower() for w in _NAME.findall(_MIXED.sub(b" ", raw[low:high])))
+                    done = max(done, high)
+                counts.update(seen)
+                if len(counts) > RUN:
+                    yield written()
+                    counts.clear()
+        if counts:
+            yield written()
+
+    found = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in found.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()][::-1]
+
+
 class Novelty:
     """Marginal compressed size of a string after a dictionary and the text around it."""
 
@@ -157,13 +215,18 @@ def scan(column: pa.Array, novelty: Novelty) -> Iterator[list[tuple[int, int, st
             if raw.find(b"AKIA", a, z) >= 0:
                 texts.setdefault(r, raw[a:z].decode())
                 found[r] += [(*m.span(), "access") for m in ACCESS.finditer(texts[r]) if m.end() - m.start() >= LEAST["access"]]
-        s, e, row = word_bounds(part, at, _TOKEN)
-        digits, letters = (np.concatenate(([0], np.cumsum(k[part]))) for k in (_DIGIT, _ALPHA))
-        for i in np.flatnonzero((e - s >= SHORTEST) & (digits[e] > digits[s]) & (letters[e] > letters[s])).tolist():
-            r = int(row[i])
+        s, e, row = candidates(part, at)
+        last, base = -1, []
+        for i, r in enumerate(row.tolist()):
             zero = chars[at[r]]
             start, end = int(chars[s[i]] - zero), int(chars[e[i]] - zero)
-            if any(x < end and start < y for x, y, _ in found[r]):
+            if r != last:
+                last, base, passed = r, sorted((x, y) for x, y, _ in found[r]), 0
+                reach = 0  # the furthest end of the base spans that begin before this candidate's end
+            while passed < len(base) and base[passed][0] < end:
+                reach = max(reach, base[passed][1])
+                passed += 1
+            if reach > start:
                 continue
             text = texts.get(r)
             if text is None:
@@ -183,17 +246,21 @@ def spell(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def scan_secrets(docs: DataFrame, words: list[str] = IDENTIFIERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel of every row.
 
     Base spans are whole matches of the patterns; the compressor adds strings that no
     pattern covers, stand after a sensitive word on their line or the line above, go on a string found
     there or stand in a private key's block, mix letters and digits, and
     don't compress against the identifiers and the text around them without their copies. Every
-    copy of such a string is a span, whatever stands before it. Null and empty texts have no
-    spans. Repeated rows are each reported; other columns are ignored.
+    copy of such a string is a span, whatever stands before it. The dictionary is ``words``, or
+    IDENTIFIERS and the corpus's own (see ``identifiers``). Strings without a digit or without a
+    letter, and those that a base span touches, are not measured. Null and empty texts have no
+    spans; an empty table gives no rows; very long texts are scanned whole. Repeated rows are
+    each reported; other columns are ignored.
     """
     small_batches(docs.sparkSession)
+    words = [*IDENTIFIERS, *identifiers(docs)] if words is None else words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(words)
@@ -211,10 +278,12 @@ def scan_secrets(docs: DataFrame, words: list[str] = IDENTIFIERS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long")
 
 
-def redact(docs: DataFrame, mark: str = "[REDACTED]", words: list[str] = IDENTIFIERS) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[REDACTED]", words: list[str] | None = None) -> DataFrame:
     """docs with every span of its texts replaced by mark (overlapping spans by one), and n_chars,
-    where there is such a column, counted anew for changed texts. Null texts stay null."""
+    where there is such a column, counted anew for changed texts. Null texts stay null; other
+    columns stay; an empty table gives no rows. ``words`` as in ``scan_secrets``."""
     small_batches(docs.sparkSession)
+    words = [*IDENTIFIERS, *identifiers(docs)] if words is None else words
     at = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -245,4 +314,5 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", words: list[str] = IDENTIF
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """Secrets in every row of ``documents``; see ``scan_secrets`` for nulls and repeats."""
     return scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
