@@ -18,8 +18,9 @@ from .common import SPACED, Tables, chunks, lower_ascii, small_batches, text_buf
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END_ID = 4096, 1
-#: The program's size classes, its rounds and its step: all independent of the input.
-CLASSES, ROUNDS, STEP = 128, 1000, 0.05
+#: The program's size classes and its step, the gap to the bound at which it ends, and its rounds at
+#: most: all independent of the input, as is the histogram. Pieces that the rounds leave go by best fit.
+CLASSES, STEP, GAP, ROUNDS = 128, 0.05, 0.01, 1000
 #: Words whose ids a worker keeps; the store is emptied when it is full.
 KEPT_WORDS = 1 << 20
 
@@ -248,26 +249,32 @@ def best_configuration(value: np.ndarray, most: np.ndarray, capacity: int) -> np
     return out
 
 
-def configuration_program(number: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
-    """Fractional solution of min sum x, sum of a x >= number, by multiplicative weights.
+def configuration_program(number: np.ndarray, capacity: int, gap: float = GAP) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """Fractional solution of min sum x, sum of a x >= number, by multiplicative weights, and its bound.
 
     A class's weight falls with the covered share of its pieces. Each round prices the
-    classes by weight per piece, takes the best configuration, and adds a step of it.
+    classes by weight per piece, takes the best configuration, and adds a step of it. Any prices
+    bound the program from below by all pieces' worth over the best configuration's; rounds end
+    when the solution, scaled to cover all, is within ``gap`` of the best bound, or covers all as it is, or after ROUNDS.
     """
     live = number > 0
-    covered, chosen = np.zeros(len(number)), defaultdict(float)
+    covered, chosen, bound, used = np.zeros(len(number)), defaultdict(float), 0.0, 0.0
     for _ in range(ROUNDS if live.any() else 0):
         share = np.divide(covered, number, out=np.zeros(len(number)), where=live)
         weight = np.where(live, np.exp(-(share - share[live].min()) / STEP), 0)
-        a = best_configuration(np.divide(weight, number, out=np.zeros(len(number)), where=live), number, capacity)
+        value = np.divide(weight, number, out=np.zeros(len(number)), where=live)
+        a = best_configuration(value, number, capacity)
+        bound = max(bound, weight.sum() / (a * value).sum())
         x = STEP / 4 * (number[a > 0] / a[a > 0]).min()
         covered += x * a
+        used += x
         chosen[tuple(a.tolist())] += x
-        if (covered[live] >= number[live]).all():
+        least = (covered[live] / number[live]).min()
+        if least >= 1 or least > 0 and used / least <= (1 + gap) * bound:
             break
     sizes = np.arange(1, len(number) + 1)
     scale = (number * sizes).sum() / max((covered * sizes).sum(), 1e-9)
-    return [(np.array(a), x * scale) for a, x in chosen.items()]
+    return [(np.array(a), x * scale) for a, x in chosen.items()], bound
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
@@ -287,7 +294,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[i
     #: Open sequences by free room.
     rooms: dict[int, list[list]] = defaultdict(list)
     by_class = [[x for x in range(min(c * width, capacity), (c - 1) * width, -1) if left[x]] for c in range(1, CLASSES + 1)]
-    for a, x in sorted(configuration_program(number, capacity // width), key=lambda p: -p[1]):
+    for a, x in sorted(configuration_program(number, capacity // width)[0], key=lambda p: -p[1]):
         times = math.floor(x)
         slots = [c for c in range(CLASSES - 1, -1, -1) for _ in range(int(a[c]))]
         while times > 0:
@@ -347,6 +354,24 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[i
     return out
 
 
+def plan_report(counts: np.ndarray, capacity: int = CAPACITY) -> dict[str, float]:
+    """How good the plan of a histogram is: sequences, the least that could hold all tokens, the program's
+    fractional number and bound for its size classes, and the share of sequences with room left."""
+    width = -(-capacity // CLASSES)
+    of = (np.arange(capacity + 1) + width - 1) // width
+    number = np.bincount(of[:capacity], counts[:capacity], minlength=CLASSES + 1)[1:].astype(np.int64)
+    found, bound = configuration_program(number, capacity // width)
+    chosen = plan(counts, capacity)
+    sequences = sum(n for n, _ in chosen)
+    return {
+        "sequences": sequences,
+        "least": int(-(-(counts * np.arange(capacity + 1)).sum() // capacity)),
+        "fractional": float(sum(x for _, x in found) + counts[capacity]),
+        "bound": float(bound + counts[capacity]),
+        "open_share": sum(n for n, lengths in chosen if sum(lengths) < capacity) / max(1, sequences),
+    }
+
+
 def places(chosen: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
     """For runs of pieces of a length, in order of rank: first rank, first sequence, pieces in each sequence, offset."""
     rows: list[tuple[int, int, int, int, int]] = []

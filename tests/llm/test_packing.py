@@ -106,3 +106,12 @@ def test_next_tasks_find_the_workers_words(spark, documents):
             return
         seen.add(r.pid)
     raise AssertionError(f"no words kept in workers {seen}")
+
+
+def test_the_bound_is_one():
+    """The program's bound is below what any packing of the classes needs, and the plan near the tokens' own."""
+    counts = np.zeros(4097, int)
+    counts[[1500, 2100]] = 1000, 700
+    got = packing.plan_report(counts)
+    assert got["bound"] <= got["sequences"] + 1e-6 and got["least"] <= got["sequences"]
+    assert packing.plan_report(np.zeros(4097, int))["sequences"] == 0
