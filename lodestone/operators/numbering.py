@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint in ``spark.checkpoint.dir``; in a folder of its own only where that is unset."""
+    """df from a reliable checkpoint in ``spark.checkpoint.dir``; in a folder of this machine only where that is unset and all tasks run here."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             own = tempfile.mkdtemp(prefix="lodestone-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)
             path = f"file://{own}"
