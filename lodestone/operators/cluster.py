@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.vectors import squared_l2
-from .search import DIGITS, Nearest, knn, matrix, top
+from ..functions.vectors import Metric, exact, l2_norm, rough, squared_l2, unit_rows
+from .search import DIGITS, Nearest, knn, matrix, query_blocks, top
 
 
 def mean_vector(base: DataFrame) -> np.ndarray:
@@ -38,24 +39,46 @@ def sampled(base: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     return base.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(min(1.0, fraction) * 1_000_000))
 
 
-def assign(base: DataFrame, pivots: DataFrame, nearest: int = 1) -> DataFrame:
+#: Bytes of pivots that a task may hold.
+PIVOT_BYTES = 256 << 20
+
+
+def pivot_block(pivots: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shards and vectors of all pivots, in order of shard; more than PIVOT_BYTES of them are an error."""
+    size = pivots.agg(F.sum(F.size("vec") * 8).alias("n")).first().n or 0
+    if size > PIVOT_BYTES:
+        raise ValueError(f"{size} bytes of pivots are more than {PIVOT_BYTES}")
+    rows = pivots.orderBy("shard").collect()
+    return np.array([r.shard for r in rows], np.int64), np.array([r.vec for r in rows], np.float64)
+
+
+def nearest_pivots(m: np.ndarray, pivots: np.ndarray, nearest: int, metric: Metric) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of each row's nearest pivots, the first of equal ones first."""
+    if metric is Metric.L2:
+        d = np.stack([((m - c) ** 2).sum(1) for c in pivots], 1)
+    else:
+        d = rough(metric, m, pivots)
+    order = np.argsort(np.round(d, DIGITS), axis=1, kind="stable")[:, :nearest]
+    return order, np.take_along_axis(d, order, 1)
+
+
+def assign(base: DataFrame, pivots: DataFrame, nearest: int = 1, metric: str | Metric = Metric.L2) -> DataFrame:
     """(id, shard, rank, distance): each row's nearest pivots (shard, vec), by id on ties.
 
-    Pivots are the broadcast side of a search turned round: their blocks are bounded.
+    Pivots are broadcast; ``pivot_block`` checks their size.
     """
-    sent = base.sparkSession.sparkContext.broadcast([(r.shard, r.vec) for r in pivots.orderBy("shard").collect()])
+    metric = Metric.parse(metric)
+    sent = base.sparkSession.sparkContext.broadcast(pivot_block(pivots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = np.array([s for s, _ in sent.value], np.int64)
-        p = np.array([v for _, v in sent.value], np.float64)
+        shard, p = sent.value
         for b in batches:
             m = matrix(b.column(1))
-            if not len(m):
+            if not len(m) or not len(p):
                 continue
-            d = np.stack([((m - c) ** 2).sum(1) for c in p], 1)
-            order = np.argsort(np.round(d, DIGITS), axis=1, kind="stable")[:, :nearest]
+            order, d = nearest_pivots(m, p, nearest, metric)
             n = order.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(shard[order].ravel()), pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(m))), pa.array(np.take_along_axis(d, order, 1).ravel())], ["id", "shard", "rank", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(shard[order].ravel()), pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(m))), pa.array(d.ravel())], ["id", "shard", "rank", "distance"])
 
     return base.select(F.col("id").cast("long").alias("id"), "vec").where("vec is not null").mapInArrow(run, "id long, shard long, rank int, distance double").withColumn("distance", F.round("distance", DIGITS))
 
@@ -96,47 +119,79 @@ def partition_for_budget(base: DataFrame, budget_bytes: float, copies: int = 2,
         n += 2
 
 
-def write_partitions(base: DataFrame, assignment: DataFrame, path: str) -> None:
-    """Inverted file: vectors by shard, so a probe reads only its shards."""
-    rows = base.join(assignment.select("id", "shard"), "id")
-    rows.repartition("shard", F.pmod(F.xxhash64("id"), F.lit(16))).write.mode("overwrite").partitionBy("shard").parquet(path)
+def write_partitions(base: DataFrame, pivots: DataFrame, path: str, metric: str | Metric = Metric.L2) -> None:
+    """Inverted file: vectors by shard in ``path``/shards, so a probe reads only its shards, and ``path``/pivots.
 
+    A row's shard is found where the row is; only the write deals the rows, a shard over several tasks.
+    """
+    pivots.write.mode("overwrite").parquet(f"{path}/pivots")
+    rows = sharded(base, pivots, metric)
+    rows.repartition("shard", F.pmod(F.xxhash64("id"), F.lit(16))).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/shards")
 
-def probe(partitions: DataFrame, pivots: DataFrame, queries: DataFrame, k: int = 10, probes: int = 3) -> DataFrame:
-    """Approximate nearest: only the shards of each query's nearest pivots are searched.
 
-    Queries of a shard are held together with it, so a row is scored for its shard's
-    queries alone.
-    """
-    spark = partitions.sparkSession
-    as_base = queries.select(F.col("qid").alias("id"), F.col("query").alias("vec"))
-    wanted = assign(as_base, pivots, probes).select(F.col("id").alias("qid"), "shard").collect()
-    rows = {r.qid: r["query"] for r in queries.collect()}
-    by_shard: dict[int, list[int]] = {}
-    for r in wanted:
-        by_shard.setdefault(r.shard, []).append(r.qid)
-    sent = spark.sparkContext.broadcast({s: (np.array(q, np.int64), np.array([rows[x] for x in q], np.float64)) for s, q in by_shard.items()})
+def sharded(base: DataFrame, pivots: DataFrame, metric: str | Metric = Metric.L2) -> DataFrame:
+    """base (id, vec, ...) with ``shard``, that of the nearest pivot; rows without a vector are left out."""
+    metric = Metric.parse(metric)
+    rows = base.drop("shard").where("vec is not null")
+    sent, at = base.sparkSession.sparkContext.broadcast(pivot_block(pivots)), rows.columns.index("vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = Nearest(k)
+        shard, p = sent.value
         for b in batches:
-            own, m, shard = b.column(0).to_numpy(), matrix(b.column(1)), b.column(2).to_numpy()
-            for s in np.unique(shard):
-                if int(s) not in sent.value:
-                    continue
-                q, vec = sent.value[int(s)]
-                at = np.flatnonzero(shard == s)
-                d = np.stack([((m[at] - v) ** 2).sum(1) for v in vec])
-                i, j = np.nonzero(keep(int(s), d))
-                yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(own[at][j]), pa.array(d[i, j])], ["qid", "id", "distance"])
+            if b.num_rows:
+                order, _ = nearest_pivots(matrix(b.column(at)), p, 1, metric)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard[order[:, 0]])], [*b.schema.names, "shard"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("shard", LongType())]))
+
 
-    hit = partitions.where(F.col("shard").isin(list(by_shard))).select(F.col("id").cast("long").alias("id"), "vec", F.col("shard").cast("long").alias("shard"))
-    pairs = hit.mapInArrow(run, "qid long, id long, distance double").withColumn("distance", F.round("distance", DIGITS)).distinct()
-    return top(pairs, k).select("qid", "id", "rank", "distance")
+def probe(partitions: DataFrame, pivots: DataFrame, queries: DataFrame, k: int = 10, probes: int = 3, metric: str | Metric = Metric.L2, page: int = 1) -> DataFrame:
+    """Approximate nearest: only the shards of each query's nearest pivots are searched.
+
+    Queries are broadcast in bounded blocks; in a block the queries of a shard are held together
+    with it, so a row is scored for its shard's queries alone, and shards that no query of the block
+    wants aren't read (``shard`` is a folder of stored partitions). Empty queries have no results.
+    """
+    spark, metric = partitions.sparkSession, Metric.parse(metric)
+    shards, centers = pivot_block(pivots)
+    most = k * page
+    out = spark.createDataFrame([], "qid long, id long, distance double")
+    for qids, vectors in query_blocks(queries):
+        order, _ = nearest_pivots(vectors, centers, probes, metric)
+        wanted = {int(shards[s]): np.flatnonzero((order == s).any(1)) for s in np.unique(order)}
+        sent = spark.sparkContext.broadcast((qids, vectors, wanted))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            qids, vectors, wanted = sent.value
+            keep = Nearest(most)
+            for b in batches:
+                own, m, shard = b.column(0).to_numpy(), matrix(b.column(1)), b.column(2).to_numpy()
+                for s in np.unique(shard).tolist():
+                    q, at = wanted[s], np.flatnonzero(shard == s)
+                    i, j = np.nonzero(keep(s, rough(metric, vectors[q], m[at])))
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[q][i]), pa.array(own[at][j]), pa.array(exact(metric, vectors[q][i], m[at][j]))], ["qid", "id", "distance"])
+
+        hit = partitions.where(F.col("shard").isin(list(wanted))).select(F.col("id").cast("long").alias("id"), "vec", F.col("shard").cast("long").alias("shard"))
+        out = out.unionByName(hit.mapInArrow(run, "qid long, id long, distance double").where(~F.isnan("distance")))
+    pairs = out.withColumn("distance", F.round("distance", DIGITS) + F.lit(0.0)).distinct()
+    return top(pairs, most).where(F.col("rank") > k * (page - 1)).select("qid", "id", "rank", "distance")
 
 
 def start_points(base: DataFrame, strategy: str = "medoid", n: int = 1, seed: int = 42) -> DataFrame:
-    """Rows to start walks from: medoid, first, or seeded samples."""
+    """Rows to start walks from: medoid, first, or seeded samples (id); or points (id, vec) that aren't rows:
+    ``random`` ones of the rows' mean norm, or a ``latin`` hypercube over the rows' ranges, one point in each of n
+    slices of every dimension."""
+    if strategy in ("random", "latin"):
+        rng = np.random.default_rng(seed)
+        dims = base.select(F.posexplode(F.col("vec").cast("array<double>")).alias("dim", "x")).groupBy("dim").agg(F.min("x").alias("low"), F.max("x").alias("high")).orderBy("dim").collect()
+        low, high = (np.array([r[c] for r in dims], float) for c in ("low", "high"))
+        if strategy == "latin":
+            cell = np.stack([rng.permutation(n) for _ in dims], 1) if dims else np.zeros((n, 0))
+            points = low + (high - low) * (cell + rng.random(cell.shape)) / n
+        else:
+            size = base.agg(F.avg(l2_norm(F.col("vec"))).alias("n")).first().n or 0.0
+            points = unit_rows(rng.normal(size=(n, len(dims)))) * size
+        return base.sparkSession.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id long, vec array<double>")
     if strategy == "medoid":
         return medoid(base).select("id")
     if strategy == "first":

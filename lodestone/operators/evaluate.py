@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import cumulative
+
 
 def _distinct_hits(results: DataFrame, truth: DataFrame) -> DataFrame:
     """(qid, hits): distinct result ids that are in the truth."""
@@ -66,13 +68,18 @@ def _at(values: Column, index: Column) -> Column:
 def latency_summary(rows: DataFrame, value: str, by: list[str] | None = None, places: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """n, avg and percentiles: the sorted value at floor((n - 1) * p / 100).
 
-    Ranks come from counts of distinct values, so equal values are one row and no
-    group's values are gathered in one array.
+    Ranks come from counts of distinct values in sorted range partitions, so equal values are one
+    row and no group's values meet in one task.
     """
     by = by or []
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    window = Window.partitionBy(*by).orderBy("_v")
-    placed = counts.withColumn("_hi", F.sum("_c").over(window.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    summed = cumulative(counts, [*by, "_v"], "_c", "_all")
+    own = counts.groupBy(*by).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_low"))
+    # A group's own sums are the running ones less what lies before its first value.
+    first = summed.join(own, by) if by else summed.join(F.broadcast(own))
+    first = first.where(F.col("_v") == F.col("_low")).select(*by, (F.col("_all") - F.col("_c")).alias("_start"))
+    own = own.join(first, by) if by else own.join(F.broadcast(first))
+    placed = (summed.join(own, by) if by else summed.join(F.broadcast(own))).withColumn("_hi", F.col("_all") - F.col("_start"))
     cols = [F.first("_n").alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.first("_n")).alias("avg")]
     cols += [F.min(F.when(F.col("_hi") > F.floor((F.col("_n") - 1) * p / 100), F.col("_v"))).alias(f"p{p}") for p in places]
     return placed.groupBy(*by).agg(*cols)
@@ -91,9 +98,8 @@ def benchmark_percentiles(rows: DataFrame, value: str) -> DataFrame:
 
 def _ranked(rows: DataFrame, value: str, places: dict, more: list[Column]) -> DataFrame:
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    window = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    total = counts.agg(F.sum("_c").alias("_n"))
-    placed = counts.withColumn("_hi", F.sum("_c").over(window)).join(F.broadcast(total))
+    total = counts.agg(F.sum("_c").alias("_n"))  # one row
+    placed = cumulative(counts, ["_v"], "_c", "_hi").join(F.broadcast(total))
     return placed.agg(F.first("_n").alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.first("_n")).alias("mean"), *more, *[F.min(F.when(F.col("_hi") > at(F.col("_n")), F.col("_v"))).alias(name) for name, at in places.items()])
 
 
@@ -123,3 +129,14 @@ def compare_runs(before: DataFrame, after: DataFrame, tolerances: dict[str, floa
 def per_query_report(rows: DataFrame, path: str) -> None:
     """Per-query metrics as CSV with a header."""
     rows.write.mode("overwrite").csv(path, header=True)
+
+
+def recall_percent(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """The recall of ``recall_with_ties`` as a percentage."""
+    return recall_with_ties(found, truth, k, k).select((F.col("average") * 100).alias("recall_percent"))
+
+
+def run_summary(rows: DataFrame, path: str) -> None:
+    """One row of figures as key=value lines, in the order of its columns."""
+    pairs = F.array(*[F.concat(F.lit(c + "="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in rows.columns])
+    rows.limit(1).select(F.explode(pairs).alias("value")).coalesce(1).write.mode("overwrite").text(path)

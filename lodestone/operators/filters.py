@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .numbering import numbered
 
@@ -118,22 +122,63 @@ def label_match(query: str, labels: Column) -> Column:
 # --- flattened attributes, dictionary, postings -------------------------------
 
 
-def flatten_json(docs: DataFrame, id_col: str, document: Column, separator: str = ".", levels: int = 8) -> DataFrame:
+def nesting(document: Column) -> Column:
+    """How deep a variant's objects and arrays are nested, at least; 0 for a plain value."""
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    signs = F.split(F.regexp_replace(F.schema_of_variant(document), "[^<>]", ""), "")
+
+    def step(a: Column, c: Column) -> Column:
+        now = a["now"] + F.when(c == "<", 1).when(c == ">", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.aggregate(signs, start, step, lambda a: a["most"])
+
+
+def flatten_json(docs: DataFrame, id_col: str, document: Column, separator: str = ".", levels: int | None = None) -> DataFrame:
     """(doc_id, path, kind, value): every leaf of a JSON document; array places are part of the path.
 
-    One explode for each level down to ``levels``; leaves are at most that deep.
+    One explode for each level; the deepest document's levels are measured in a pass of their own
+    unless ``levels`` is given. Elements of one array that differ in kind count as one level of it.
     """
     level = docs.select(F.col(id_col).alias("doc_id"), F.lit("").alias("path"), document.alias("v"))
-    out = None
-    for _ in range(levels):
-        opened = level.withColumn("s", F.schema_of_variant("v"))
-        nested = F.col("s").startswith("OBJECT<") | F.col("s").startswith("ARRAY<")
-        leaf = opened.where(~nested).select("doc_id", "path", F.when(F.col("s") == "BIGINT", "int").when(F.col("s").startswith("DECIMAL") | (F.col("s") == "DOUBLE"), "real").when(F.col("s") == "BOOLEAN", "bool").when(F.col("s") == "VOID", "null").otherwise("string").alias("kind"), F.try_variant_get("v", "$", "string").alias("value"))
-        out = leaf if out is None else out.unionByName(leaf)
-        opened.where(nested).createOrReplaceTempView("_nested_level")
-        step = F.when(F.col("path") == "", F.col("name")).otherwise(F.concat("path", F.lit(separator), F.col("name")))
-        level = docs.sparkSession.sql("select doc_id, path, coalesce(key, cast(pos as string)) as name, value as v from _nested_level, lateral variant_explode(v)").select("doc_id", step.alias("path"), "v")
-    return out
+    out, spark = None, docs.sparkSession
+    while True:
+        # Arrays of mixed kinds hide what is below, so the next levels are measured when they are reached.
+        ahead = level.agg(F.max(nesting(F.col("v")))).first()[0] if levels is None else levels - 1
+        if ahead is None:
+            break
+        for _ in range(ahead + 1):
+            opened = level.withColumn("s", F.schema_of_variant("v"))
+            nested = F.col("s").startswith("OBJECT<") | F.col("s").startswith("ARRAY<")
+            leaf = opened.where(~nested).select("doc_id", "path", F.when(F.col("s") == "BIGINT", "int").when(F.col("s").startswith("DECIMAL") | (F.col("s") == "DOUBLE"), "real").when(F.col("s") == "BOOLEAN", "bool").when(F.col("s") == "VOID", "null").otherwise("string").alias("kind"), F.try_variant_get("v", "$", "string").alias("value"))
+            out = leaf if out is None else out.unionByName(leaf)
+            view = f"nested_{uuid.uuid4().hex}"
+            opened.where(nested).createOrReplaceTempView(view)
+            step = F.when(F.col("path") == "", F.col("name")).otherwise(F.concat("path", F.lit(separator), F.col("name")))
+            level = spark.sql(f"select doc_id, path, coalesce(key, cast(pos as string)) as name, value as v from {view}, lateral variant_explode(v)").select("doc_id", step.alias("path"), "v")
+            spark.catalog.dropTempView(view)
+        if levels is not None:
+            break
+    return out if out is not None else spark.createDataFrame([], level.select("doc_id").schema.add("path", "string").add("kind", "string").add("value", "string"))
+
+
+def sort_key(path: Column, kind: Column, value: Column) -> Column:
+    """A string that sorts as (path, kind, value) does: whole numbers as 16 hexadecimal digits from the least
+    number up, real ones by their bits in the order of their values, texts and booleans as they are."""
+    number = F.expr("try_cast(value as bigint)") if value is None else value.try_cast("bigint")
+    whole = F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))), 16, "0")
+    real = ordered_bits(value.try_cast("double"))
+    letter = F.when(kind == "int", "I").when(kind == "real", "F").when(kind == "bool", "B").otherwise("S")
+    spelled = F.when(kind == "int", whole).when(kind == "real", real).otherwise(F.coalesce(value, F.lit("")))
+    return F.concat_ws("\x1f", path, letter, spelled)
+
+
+@F.pandas_udf(StringType())
+def ordered_bits(x: pd.Series) -> pd.Series:
+    """A double's bits as 16 hexadecimal digits that sort as the values do; null for null."""
+    bits = x.to_numpy(np.float64, na_value=np.nan).view(np.uint64)
+    bits = np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+    return pd.Series([f"{b:016x}" for b in bits.tolist()], index=x.index).where(x.notna(), None)
 
 
 def attribute_dictionary(attributes: DataFrame) -> DataFrame:

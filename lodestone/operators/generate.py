@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def lattice(spark: SparkSession, dims: int, size: int) -> DataFrame:
     """(id, vec): all points of {0..size-1}^dims, the last dimension running fastest."""
@@ -38,11 +40,10 @@ def on_sphere(spark: SparkSession, n: int, dim: int, radius: float = 1.0, seed:
 
 def hypercube_points(spark: SparkSession, n: int, dim: int, seed: int = 42) -> DataFrame:
     """(id, vec): Latin hypercube: in every dimension each of n strata holds one point."""
-    from pyspark.sql import Window
-
     rows = spark.range(n)
     for d in range(dim):
-        rows = rows.withColumn(f"_s{d}", F.row_number().over(Window.orderBy(F.xxhash64("id", F.lit(seed + d)))) - 1)
+        drawn = numbered(rows.select("id", F.xxhash64("id", F.lit(seed + d)).alias("_h")), ["_h", "id"], f"_s{d}")
+        rows = rows.join(drawn.select("id", f"_s{d}"), "id")
     return rows.select("id", F.array(*[((F.col(f"_s{d}") + F.pmod(F.xxhash64("id", F.lit(seed - d - 1)), F.lit(1000)) / 1000) / n).cast("float") for d in range(dim)]).alias("vec"))
 
 

@@ -1,15 +1,13 @@
 """Similarity graphs: edges (src, dst, ord), statistics, pruning, reordering, repair, and walks.
 
-Building and walking a graph is sequential by nature, so it happens inside one partition
-of the data (a shard of ``cluster.assign``), never over the whole table; everything else
-is joins and aggregates over the edge table.
+Everything here is joins and aggregates over the edge table; graphs that are built to be
+walked are in ``index``.
 """
 
 from __future__ import annotations
 
 import heapq
 import itertools
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numbering import cut, numbered
-from .search import DIGITS, knn, matrix, query_blocks, top
+from .search import knn, matrix
 
-#: Candidates that a prune looks at.
+#: Candidates that a prune looks at unless it is told another number; None looks at all.
 MOST_CANDIDATES = 750
 
 
@@ -125,11 +123,11 @@ def greedy_order(edges: DataFrame, nodes: DataFrame, window: int = 64) -> DataFr
     return rows.select(F.col("part").cast("long").alias("part"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).groupBy("part").applyInArrow(run, "part long, id long, new_id long")
 
 
-def prune_candidates(center: np.ndarray, ids: np.ndarray, vectors: np.ndarray, most: int, alpha: float) -> list[int]:
+def prune_candidates(center: np.ndarray, ids: np.ndarray, vectors: np.ndarray, most: int, alpha: float, candidates: int | None = MOST_CANDIDATES) -> list[int]:
     """Places of the kept candidates: in order of (distance, id), one goes if a kept one is nearer to it, times alpha, than the centre."""
     d = ((vectors - center) ** 2).sum(1)
     kept: list[int] = []
-    for i in np.lexsort((ids, np.round(d, 9)))[:MOST_CANDIDATES].tolist():
+    for i in np.lexsort((ids, np.round(d, 9)))[:candidates].tolist():
         if all(alpha * ((vectors[i] - vectors[j]) ** 2).sum() > d[i] for j in kept):
             kept.append(i)
             if len(kept) == most:
@@ -137,14 +135,14 @@ def prune_candidates(center: np.ndarray, ids: np.ndarray, vectors: np.ndarray, m
     return kept
 
 
-def ladder_prune(center: np.ndarray, ids: np.ndarray, vectors: np.ndarray, most: int, alpha: float = 1.2, saturate: bool = False) -> list[int]:
+def ladder_prune(center: np.ndarray, ids: np.ndarray, vectors: np.ndarray, most: int, alpha: float = 1.2, saturate: bool = False, candidates: int | None = MOST_CANDIDATES) -> list[int]:
     """Places of the kept candidates when alpha rises from 1 in steps of min(alpha, 1.2) until enough are kept.
 
     A candidate's occlusion is the greatest ratio of its distance to the centre over that to a kept one;
     it waits while that is beyond the current alpha. ``saturate`` fills up with the nearest left.
     """
     d = ((vectors - center) ** 2).sum(1)
-    order = np.lexsort((ids, np.round(d, 9)))[:MOST_CANDIDATES].tolist()
+    order = np.lexsort((ids, np.round(d, 9)))[:candidates].tolist()
     occlusion, kept, now = dict.fromkeys(order, 0.0), [], 1.0
     while True:
         for i in order:
@@ -165,11 +163,11 @@ def ladder_prune(center: np.ndarray, ids: np.ndarray, vectors: np.ndarray, most:
     return kept
 
 
-def robust_prune(candidates: DataFrame, base: DataFrame, most: int = 32, alpha: float = 1.2) -> DataFrame:
+def robust_prune(candidates: DataFrame, base: DataFrame, most: int = 32, alpha: float = 1.2, looked: int | None = MOST_CANDIDATES) -> DataFrame:
     """(src, dst, ord): each node's candidates (src, dst) thinned.
 
-    The two joins bring vectors by id; a group is one node's candidates, at most MOST_CANDIDATES
-    nearest of them, chosen before grouping.
+    The two joins bring vectors by id; a group is one node's candidates, the ``looked`` nearest of
+    them (None: all), chosen before grouping.
     """
     from ..functions.vectors import squared_l2
 
@@ -177,11 +175,13 @@ def robust_prune(candidates: DataFrame, base: DataFrame, most: int = 32, alpha:
     pairs = candidates.select("src", "dst").where("src <> dst").distinct()
     full = pairs.join(vec.withColumnRenamed("id", "dst").withColumnRenamed("vec", "there"), "dst").join(vec.withColumnRenamed("id", "src").withColumnRenamed("vec", "here"), "src")
     near = Window.partitionBy("src").orderBy("d", "dst")
-    full = full.withColumn("d", F.round(squared_l2(F.col("here"), F.col("there")), 9)).withColumn("k", F.row_number().over(near)).where(F.col("k") <= MOST_CANDIDATES)
+    full = full.withColumn("d", F.round(squared_l2(F.col("here"), F.col("there")), 9))
+    if looked is not None:
+        full = full.withColumn("k", F.row_number().over(near)).where(F.col("k") <= looked)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids = table["dst"].to_numpy()
-        kept = prune_candidates(matrix(table["here"].slice(0, 1))[0], ids, matrix(table["there"]), most, alpha)
+        kept = prune_candidates(matrix(table["here"].slice(0, 1))[0], ids, matrix(table["there"]), most, alpha, looked)
         return pa.table({"src": pa.array([key[0].as_py()] * len(kept), pa.int64()), "dst": pa.array(ids[kept], pa.int64()), "ord": pa.array(range(1, len(kept) + 1), pa.int32())})
 
     return full.select("src", "dst", "here", "there").groupBy("src").applyInArrow(run, "src long, dst long, ord int")
@@ -235,153 +235,3 @@ def delete_and_repair(edges: DataFrame, deleted: DataFrame, base: DataFrame | No
 def navigation_nodes(edges: DataFrame, starts: DataFrame, budget_bytes: int, node_bytes: int = 2048) -> DataFrame:
     """(id, level): the first nodes in breadth-first order that fit the budget; to broadcast or keep in memory."""
     return reachable(edges, starts).orderBy("level", "id").limit(budget_bytes // node_bytes)
-
-
-# --- layered graphs in a partition ------------------------------------------------
-
-
-class Layered:
-    """A layered navigable graph over the rows of one partition."""
-
-    def __init__(self, m: int = 16, build_length: int = 100, alpha: float = 1.2, seed: int = 42):
-        self.m, self.length, self.alpha, self.seed = m, build_length, alpha, seed
-        self.vec = np.zeros((0, 0))
-        self.ids = np.zeros(0, np.int64)
-        self.links: list[list[np.ndarray]] = []
-        self.entry = -1
-
-    def level(self, key: int) -> int:
-        """Geometric with half, at most 7, from the id alone."""
-        x = ((key + self.seed) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)
-        x ^= x >> 31
-        x = (x * 0xBF58476D1CE4E5B9) & ((1 << 64) - 1)
-        return min(7, (x & -x).bit_length() - 1 if x else 7)
-
-    def gaps(self, q: np.ndarray, rows) -> np.ndarray:
-        return ((self.vec[rows] - q) ** 2).sum(1)
-
-    def beam(self, q: np.ndarray, start: list[int], length: int, layer: int, trace: list | None = None, opens: int | None = None) -> list[tuple[float, int]]:
-        """The nearest ``length`` found by a best-first walk that opens ``opens`` nodes at most."""
-        seen = set(start)
-        near = [(float(d), s) for d, s in zip(self.gaps(q, start), start)]
-        heap, best = list(near), [(-d, s) for d, s in near]
-        heapq.heapify(heap)
-        heapq.heapify(best)
-        hop = 0
-        while heap:
-            d, x = heapq.heappop(heap)
-            if d > -best[0][0] and len(best) >= length or hop == opens:
-                break
-            if trace is not None:
-                trace.append((hop, x, d))
-            hop += 1
-            new = [y for y in self.links[x][layer].tolist() if y not in seen] if layer < len(self.links[x]) else []
-            seen.update(new)
-            for e, y in zip(self.gaps(q, new).tolist() if new else (), new):
-                if len(best) < length or e < -best[0][0]:
-                    heapq.heappush(heap, (e, y))
-                    heapq.heappush(best, (-e, y))
-                    if len(best) > length:
-                        heapq.heappop(best)
-        return sorted((-d, s) for d, s in best)
-
-    def build(self, ids: np.ndarray, vec: np.ndarray) -> Layered:
-        order = np.argsort(ids)
-        self.ids, self.vec = ids[order], vec[order]
-        for i in range(len(ids)):
-            self._insert(i)
-        return self
-
-    def _insert(self, i: int) -> None:
-        own = self.level(int(self.ids[i]))
-        self.links.append([np.zeros(0, np.int64) for _ in range(own + 1)])
-        if self.entry < 0:
-            self.entry = i
-            return
-        q, at = self.vec[i], [self.entry]
-        top_level = len(self.links[self.entry]) - 1
-        for layer in range(top_level, own, -1):
-            at = [self.beam(q, at, 1, layer)[0][1]]
-        for layer in range(min(own, top_level), -1, -1):
-            found = self.beam(q, at, self.length, layer)
-            at = [x for _, x in found]
-            near = np.array(at)
-            most = 2 * self.m if layer == 0 else self.m
-            kept = near[prune_candidates(q, self.ids[near], self.vec[near], most, self.alpha)]
-            self.links[i][layer] = kept
-            for x in kept.tolist():
-                back = np.append(self.links[x][layer], i)
-                if len(back) > most:
-                    back = back[prune_candidates(self.vec[x], self.ids[back], self.vec[back], most, self.alpha)]
-                self.links[x][layer] = back
-        if own > top_level:
-            self.entry = i
-
-    def search(self, q: np.ndarray, k: int, length: int, trace: list | None = None, opens: int | None = None) -> list[tuple[int, float]]:
-        """The k nearest found with a beam of max(length, k)."""
-        if self.entry < 0:
-            return []
-        at = [self.entry]
-        for layer in range(len(self.links[self.entry]) - 1, 0, -1):
-            at = [self.beam(q, at, 1, layer)[0][1]]
-        return [(int(self.ids[x]), d) for d, x in self.beam(q, at, max(length, k), 0, trace, opens)[:k]]
-
-
-def _by_part(base: DataFrame) -> DataFrame:
-    return base.select(F.col("part").cast("long").alias("part"), F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")).where("vec is not null")
-
-
-def graph_search(base: DataFrame, queries: DataFrame, k: int = 10, length: int = 100, m: int = 16, opens: int | None = None) -> DataFrame:
-    """Approximate nearest by a layered graph in every part (base: part, id, vec), merged over parts.
-
-    ``opens`` limits the nodes that a walk reads in each part.
-    """
-    def walk(sent) -> Callable[[pa.Table], pa.Table]:
-        def run(table: pa.Table) -> pa.Table:
-            g = Layered(m).build(table["id"].to_numpy(), matrix(table["vec"]))
-            rows = [(int(q), i, d) for q, v in zip(*sent.value) for i, d in g.search(v, k, length, opens=opens)]
-            return pa.table({"qid": pa.array([r[0] for r in rows], pa.int64()), "id": pa.array([r[1] for r in rows], pa.int64()), "distance": pa.array([r[2] for r in rows], pa.float64())})
-
-        return run
-
-    out = None
-    for block in query_blocks(queries):
-        sent = base.sparkSession.sparkContext.broadcast(block)
-        part = _by_part(base).groupBy("part").applyInArrow(walk(sent), "qid long, id long, distance double")
-        out = part if out is None else out.unionByName(part)
-    return top(out.withColumn("distance", F.round("distance", DIGITS)), k).select("qid", "id", "rank", "distance")
-
-
-def build_layers(base: DataFrame, m: int = 16) -> DataFrame:
-    """(part, layer, src, dst, ord): the layered graph of every part, to store next to the vectors."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        g = Layered(m).build(table["id"].to_numpy(), matrix(table["vec"]))
-        rows = [(layer, int(g.ids[i]), int(g.ids[j]), o) for i, own in enumerate(g.links) for layer, links in enumerate(own) for o, j in enumerate(links.tolist(), 1)]
-        cols = list(zip(*rows)) or [(), (), (), ()]
-        return pa.table({"part": pa.array([key[0].as_py()] * len(rows), pa.int64()), "layer": pa.array(cols[0], pa.int32()), "src": pa.array(cols[1], pa.int64()), "dst": pa.array(cols[2], pa.int64()), "ord": pa.array(cols[3], pa.int32())})
-
-    return _by_part(base).groupBy("part").applyInArrow(run, "part long, layer int, src long, dst long, ord int")
-
-
-def recorded_search(base: DataFrame, queries: DataFrame, length: int = 50, m: int = 16) -> DataFrame:
-    """(part, qid, hop, id, distance): the nodes that each walk opens on the lowest layer, in order."""
-    def walk(sent) -> Callable[[tuple, pa.Table], pa.Table]:
-        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            g = Layered(m).build(table["id"].to_numpy(), matrix(table["vec"]))
-            rows = []
-            for q, v in zip(*sent.value):
-                trace: list = []
-                g.search(v, 1, length, trace)
-                rows += [(int(q), h, int(g.ids[x]), d) for h, x, d in trace]
-            cols = list(zip(*rows)) or [(), (), (), ()]
-            return pa.table({"part": pa.array([key[0].as_py()] * len(rows), pa.int64()), "qid": pa.array(cols[0], pa.int64()), "hop": pa.array(cols[1], pa.int32()), "id": pa.array(cols[2], pa.int64()), "distance": pa.array(cols[3], pa.float64())})
-
-        return run
-
-    out = None
-    for block in query_blocks(queries):
-        sent = base.sparkSession.sparkContext.broadcast(block)
-        part = _by_part(base).groupBy("part").applyInArrow(walk(sent), "part long, qid long, hop int, id long, distance double")
-        out = part if out is None else out.unionByName(part)
-    return out

@@ -25,11 +25,39 @@ def admitted(trace: DataFrame, misses: int = 2) -> DataFrame:
     return trace.withColumn("nth", nth).where(F.col("nth") >= misses)
 
 
-def prefetch_candidates(edges: DataFrame, fan_out: int = 8, depth: int = 1) -> DataFrame:
-    """(src, dst): the first neighbours by place, upper layers first, each repeated depth times in id order."""
-    order = Window.partitionBy("src").orderBy(F.desc("layer"), "ord", "dst")
-    first = edges.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= fan_out).select("src", "dst").distinct()
-    return first.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(depth))))
+def prefetch_candidates(edges: DataFrame, fan_out: int = 8, depth: int = 1, layer_aware: bool = True, second_fan_out: int | None = None, switched: Column | None = None) -> DataFrame:
+    """(src, dst, repeat, place): the first neighbours by place, upper layers first if ``layer_aware``, each repeated
+    ``depth`` times; ``place`` is the order of their offsets (ids), in which they are asked for.
+
+    Nodes for which ``switched`` holds are in the second phase and take ``second_fan_out``.
+    """
+    order = Window.partitionBy("src").orderBy(*([F.desc("layer")] if layer_aware else []), "ord", "dst")
+    most = F.lit(fan_out) if second_fan_out is None or switched is None else F.when(switched, second_fan_out).otherwise(fan_out)
+    first = edges.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).select("src", "dst").distinct()
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("dst")))
+    return placed.select("src", "dst", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("repeat"), "place")
+
+
+def random_walks(edges: DataFrame, starts: DataFrame, steps: int = 16, seed: int = 42) -> DataFrame:
+    """(trace, step, node, fanout, sequential, layer): walks from the start rows (id) along edges (src, dst, ord[, layer]).
+
+    The next node is drawn by a hash of (trace, step, seed) among a node's edges in the order of (layer, ord,
+    dst); a node without edges ends its walk. Each step is a join on the present nodes. ``sequential``: the step
+    goes to a neighbouring id.
+    """
+    layer = F.col("layer") if "layer" in edges.columns else F.lit(0)
+    own = Window.partitionBy("src")
+    ranked = edges.select("src", "dst", layer.cast("int").alias("layer"), "ord").withColumn("nth", F.row_number().over(own.orderBy("layer", "ord", "dst")) - 1).withColumn("fanout", F.count("*").over(own))
+    degree = ranked.select("src", "fanout").distinct()
+    now = starts.select(F.col("id").alias("trace"), F.col("id").alias("src"))
+    out = None
+    for step in range(steps):
+        draw = F.pmod(F.xxhash64("trace", F.lit(step), F.lit(seed)), F.col("fanout"))
+        moved = now.join(degree, "src").withColumn("nth", draw.cast("int")).drop("fanout").join(ranked, ["src", "nth"])
+        row = moved.select("trace", F.lit(step).alias("step"), F.col("src").alias("node"), F.col("fanout").cast("double").alias("fanout"), (F.abs(F.col("dst") - F.col("src")) == 1).alias("sequential"), "layer")
+        out = row if out is None else out.unionByName(row)
+        now = moved.select("trace", F.col("dst").alias("src"))
+    return out
 
 
 def phase_switched(visited: Column, theta: float, length: int) -> Column:
@@ -48,7 +76,7 @@ def ram_budget(given: int | None = None, variable: str = "LODESTONE_RAM_BYTES")
 
 GB = 1 << 30
 
-# For each profile the phase share, beam hint, prefetch depth and batch of a streamed build.
+# For each profile (M0 resident, M1 hybrid, M2 paged, M3 tiered_bytes, M4 huge_bytes) the phase share, beam hint, prefetch depth and batch of a streamed build.
 PROFILES = {
     "resident": (0.0, 128, 1, 0),
     "hybrid": (0.30, 160, 1, 1_000_000),

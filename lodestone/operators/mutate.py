@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def last_writes(log: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     """Each key's row with the greatest sequence number.
@@ -74,3 +76,17 @@ def slots(rows: DataFrame, capacity: int) -> DataFrame:
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
     """Each key's newest row by a window; for several order columns."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_k = 1").drop("_k")
+
+
+def allocate(new: DataFrame, used: DataFrame, keys: list[str]) -> DataFrame:
+    """new with ``id``: free ids below the greatest used one first, in order, then ids beyond it; rows in the order of keys.
+
+    Both sides are numbered in sorted range partitions and joined by number.
+    """
+    high = used.agg(F.max("id").alias("m")).first().m
+    high = -1 if high is None else high
+    free = slots(used.select(F.col("id").alias("slot")), high + 1)
+    free = numbered(free, ["slot"], "_n")
+    count = free.agg(F.count("*").alias("n")).first().n
+    placed = numbered(new, keys, "_n").join(free, "_n", "left")
+    return placed.withColumn("id", F.coalesce("slot", F.lit(high + 1) + F.col("_n") - F.lit(count))).drop("_n", "slot")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import doubles, unit_rows
+from ..functions.vectors import Metric, doubles, unit_rows
 from .search import DIGITS, Nearest, matrix, query_blocks, top
 
 
@@ -89,6 +89,32 @@ def compensated_dot(a: Column, pa_: Column, b: Column, pb: Column) -> Column:
     return pa_["step"] * pb["step"] * both + pa_["low"] * pb["step"] * sum_b + pb["low"] * pa_["step"] * sum_a + n * pa_["low"] * pb["low"]
 
 
+def code_sums(codes: Column) -> Column:
+    """struct(total, squares) of a code, to store beside it."""
+    zero = F.lit(0).cast("long")
+    return F.struct(F.aggregate(codes, zero, lambda s, x: s + x).alias("total"), F.aggregate(codes, zero, lambda s, x: s + x.cast("long") * x).alias("squares"))
+
+
+def compensated_norm(codes: Column, p: Column) -> Column:
+    """Squared norm of a decoded vector, from its code's sums."""
+    sums = code_sums(codes)
+    return p["step"] * p["step"] * sums["squares"] + 2 * p["low"] * p["step"] * sums["total"] + F.size(codes) * p["low"] * p["low"]
+
+
+def compensated_distance(metric: str, a: Column, pa_: Column, b: Column, pb: Column) -> Column:
+    """A metric between two decoded vectors from their codes, without decoding; null for the cosine of a zero vector."""
+    metric, dot = Metric.parse(metric), compensated_dot(a, pa_, b, pb)
+    if metric is Metric.INNER_PRODUCT:
+        return -dot
+    if metric is Metric.COSINE_NORMALIZED:
+        return 1 - dot
+    na, nb = compensated_norm(a, pa_), compensated_norm(b, pb)
+    if metric is Metric.COSINE:
+        return F.when((na > 0) & (nb > 0), 1 - dot / F.sqrt(na * nb))
+    squared = F.greatest(na + nb - 2 * dot, F.lit(0.0))
+    return F.sqrt(squared) if metric is Metric.FULL_L2 else squared
+
+
 # --- product quantization -------------------------------------------------------
 
 
@@ -138,6 +164,38 @@ def encode(base: DataFrame, codebook: list[np.ndarray], offsets: list[int]) -> D
     return base.select(F.col("id").cast("long").alias("id"), "vec").where("vec is not null").mapInArrow(run, "id long, code array<int>")
 
 
+def encode_in_batches(base: DataFrame, codebook: list[np.ndarray], offsets: list[int], path: str, batches: int = 16) -> DataFrame:
+    """Codes of all rows, written batch by batch (by a hash of the id) below ``path``; a batch that is whole already is
+    not made again, so a run that was ended goes on where it was."""
+    spark = base.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for b in range(batches):
+        target = f"{path}/batch={b}"
+        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")):
+            encode(base.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == b), codebook, offsets).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(path).drop("batch")
+
+
+def halves(base: DataFrame) -> DataFrame:
+    """(id, half): vectors as little-endian 16-bit floats, a quarter of the doubles' bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(v, "<f2").tobytes() for v in b.column(1).to_pylist()], pa.binary())], ["id", "half"])
+
+    return base.select(F.col("id").cast("long").alias("id"), "vec").where("vec is not null").mapInArrow(run, "id long, half binary")
+
+
+def from_halves(rows: DataFrame) -> DataFrame:
+    """(id, vec) of ``halves``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.frombuffer(v, "<f2").astype(np.float32) for v in b.column(1).to_pylist()], pa.list_(pa.float32()))], ["id", "vec"])
+
+    return rows.select("id", "half").mapInArrow(run, "id long, vec array<float>")
+
+
 def decode(codes: DataFrame, codebook: list[np.ndarray]) -> DataFrame:
     """(id, vec): the centroids that a code names, joined."""
     sent = codes.sparkSession.sparkContext.broadcast(codebook)
@@ -152,46 +210,87 @@ def decode(codes: DataFrame, codebook: list[np.ndarray]) -> DataFrame:
 
 
 def adc_knn(codes: DataFrame, queries: DataFrame, codebook: list[np.ndarray], offsets: list[int], k: int = 10, metric: str = "l2") -> DataFrame:
-    """Nearest by table lookups: a query's distance to every centroid, summed over each code.
+    """Nearest by table lookups: a query's term with every centroid, summed over each code.
 
-    metric: ``l2`` (also serves cosine walks) or ``innerproduct`` (minus the product).
+    The distance is the metric's between the query and the decoded vector. Products need one table;
+    cosine also the centroids' squared norms; a zero vector's cosine is in no result.
     """
-    spark = codes.sparkSession
-    out = None
+    spark, metric = codes.sparkSession, Metric.parse(metric)
+    out = spark.createDataFrame([], "qid long, id long, distance double")
+    norms = [(c**2).sum(1) for c in codebook]
     for ids, vectors in query_blocks(queries):
         tables = []
         for a, z, c in zip(offsets[:-1], offsets[1:], codebook):
             q = vectors[:, a:z]
-            tables.append(-(q @ c.T) if metric == "innerproduct" else ((q[:, None, :] - c[None, :, :]) ** 2).sum(2))
-        sent = spark.sparkContext.broadcast((ids, tables))
+            tables.append(((q[:, None, :] - c[None, :, :]) ** 2).sum(2) if metric in (Metric.L2, Metric.FULL_L2) else q @ c.T)
+        sent = spark.sparkContext.broadcast((ids, np.sqrt((vectors**2).sum(1)), tables))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qids, luts = sent.value
+            qids, size, luts = sent.value
             keep = Nearest(k)
             for b in batches:
                 if not b.num_rows:
                     continue
                 own, m = b.column(0).to_numpy(), matrix(b.column(1)).astype(int)
                 d = sum(t[:, m[:, i]] for i, t in enumerate(luts))
-                i, j = np.nonzero(keep(0, d))
+                if metric is Metric.FULL_L2:
+                    d = np.sqrt(d)
+                elif metric is Metric.INNER_PRODUCT:
+                    d = -d
+                elif metric is Metric.COSINE_NORMALIZED:
+                    d = 1 - d
+                elif metric is Metric.COSINE:
+                    both = size[:, None] * np.sqrt(sum(x[m[:, i]] for i, x in enumerate(norms)))
+                    d = 1 - d / np.where(both > 0, both, np.nan)
+                i, j = np.nonzero(keep(0, d) & ~np.isnan(d))
                 yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(own[j]), pa.array(d[i, j])], ["qid", "id", "distance"])
 
         part = codes.select("id", "code").mapInArrow(run, "qid long, id long, distance double").withColumn("distance", F.round("distance", DIGITS) + F.lit(0.0))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return top(out, k).select("qid", "id", "rank", "distance")
 
 
-def reranked_knn(base: DataFrame, codes: DataFrame, queries: DataFrame, codebook: list[np.ndarray], offsets: list[int], k: int = 10, multiple: int = 8) -> DataFrame:
-    """The best k * multiple by codes, ordered anew by exact squared L2.
+def code_distances(pairs: DataFrame, codebook: list[np.ndarray], metric: str = "l2") -> DataFrame:
+    """(a, b, distance) of pairs (a, code_a, b, code_b): between the decoded vectors, by tables of centroid pairs."""
+    metric = Metric.parse(metric)
+    apart = [((c[:, None, :] - c[None, :, :]) ** 2).sum(2) if metric in (Metric.L2, Metric.FULL_L2) else c @ c.T for c in codebook]
+    norms = [(c**2).sum(1) for c in codebook]
+    sent = pairs.sparkSession.sparkContext.broadcast((apart, norms))
 
-    Only the candidates are joined with their vectors, by id.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart, norms = sent.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (matrix(b.column(i)).astype(int) for i in (1, 3))
+            d = sum(t[x[:, i], y[:, i]] for i, t in enumerate(apart))
+            if metric is Metric.FULL_L2:
+                d = np.sqrt(d)
+            elif metric is Metric.INNER_PRODUCT:
+                d = -d
+            elif metric is Metric.COSINE_NORMALIZED:
+                d = 1 - d
+            elif metric is Metric.COSINE:
+                both = np.sqrt(sum(n[x[:, i]] for i, n in enumerate(norms)) * sum(n[y[:, i]] for i, n in enumerate(norms)))
+                d = 1 - d / np.where(both > 0, both, np.nan)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.round(d, DIGITS) + 0.0)], ["a", "b", "distance"])
+
+    return pairs.select(F.col("a").cast("long").alias("a"), "code_a", F.col("b").cast("long").alias("b"), "code_b").mapInArrow(run, "a long, b long, distance double")
+
+
+def reranked_knn(base: DataFrame, codes: DataFrame, queries: DataFrame, codebook: list[np.ndarray], offsets: list[int], k: int = 10, multiple: int = 8, metric: str = "l2") -> DataFrame:
+    """The best k * multiple by codes, ordered anew by the exact metric.
+
+    Candidates are found by L2 tables for all metrics but the inner product, and re-ranked by the
+    metric asked for. Only the candidates are joined with their vectors, by id.
     """
-    from ..functions.vectors import squared_l2
+    from ..functions.vectors import distance
 
-    near = adc_knn(codes, queries, codebook, offsets, max(k, k * max(1, multiple))).select("qid", "id")
+    walk = "innerproduct" if Metric.parse(metric) is Metric.INNER_PRODUCT else "l2"
+    near = adc_knn(codes, queries, codebook, offsets, max(k, k * max(1, multiple)), walk).select("qid", "id")
     full = near.join(base.select(F.col("id").cast("long").alias("id"), "vec"), "id").join(queries.select(F.col("qid").cast("long").alias("qid"), "query"), "qid")
-    pairs = full.select("qid", "id", (F.round(squared_l2(F.col("vec"), F.col("query")), DIGITS) + F.lit(0.0)).alias("distance"))
-    return top(pairs, k).select("qid", "id", "rank", "distance")
+    pairs = full.select("qid", "id", (F.round(distance(metric, F.col("vec"), F.col("query")), DIGITS) + F.lit(0.0)).alias("distance"))
+    return top(pairs.where("distance is not null"), k).select("qid", "id", "rank", "distance")
 
 
 def save_codebook(spark: SparkSession, codebook: list[np.ndarray], path: str, version: int = 0) -> None:
@@ -295,11 +394,11 @@ def spherical_codes(base: DataFrame, bits: int = 1, metric: str = "l2", seed: in
     The centre is the mean of the vectors (of unit vectors for cosine). ``scale`` makes the
     code's inner product with its own direction right.
     """
-    if metric == "cosine":
+    mean = spherical_model(base, metric)
+    if Metric.parse(metric) is Metric.COSINE:
         from ..functions.vectors import normalized
 
         base = base.select("id", normalized(F.col("vec")).alias("vec")).where("vec is not null")
-    mean = np.array([r["mean"] for r in sorted(dimension_stats(base).collect(), key=lambda r: r.dim)])
     levels = 2**bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,3 +416,52 @@ def spherical_codes(base: DataFrame, bits: int = 1, metric: str = "l2", seed: in
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code.tolist(), pa.list_(pa.int32())), pa.array(norm), pa.array(np.divide(1, inner, out=np.zeros(len(m)), where=inner > 0))], ["id", "code", "norm", "scale"])
 
     return base.select(F.col("id").cast("long").alias("id"), "vec").where("vec is not null").mapInArrow(run, "id long, code array<int>, norm double, scale double")
+
+
+def spherical_model(base: DataFrame, metric: str = "l2") -> np.ndarray:
+    """The centre of spherical codes: the mean of the vectors, of unit vectors for cosine. It must be finite."""
+    if Metric.parse(metric) is Metric.COSINE:
+        from ..functions.vectors import normalized
+
+        base = base.select("id", normalized(F.col("vec")).alias("vec")).where("vec is not null")
+    mean = np.array([r["mean"] for r in sorted(dimension_stats(base).collect(), key=lambda r: r.dim)])
+    if not len(mean) or not np.isfinite(mean).all():
+        raise ValueError("the mean isn't finite")
+    return mean
+
+
+def spherical_knn(codes: DataFrame, queries: DataFrame, mean: np.ndarray, bits: int = 1, k: int = 10, metric: str = "l2", seed: int = 42) -> DataFrame:
+    """Exhaustive search over spherical codes (id, code, norm, scale) made with the same mean, bits and seed.
+
+    A row's inner product with the rotated, centred query is estimated by norm * scale times its
+    code's; squared L2, inner product and cosine follow from it, the query's and the row's figures.
+    """
+    spark, metric, levels = codes.sparkSession, Metric.parse(metric), 2**bits
+    out = spark.createDataFrame([], "qid long, id long, distance double")
+    for ids, vectors in query_blocks(queries):
+        own = np.nan_to_num(unit_rows(vectors)) if metric is Metric.COSINE else vectors
+        sent = spark.sparkContext.broadcast((ids, own, (own - mean) @ rotation(len(mean), seed).T))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            qids, own, turned = sent.value
+            keep, spin = Nearest(k), rotation(len(mean), seed) @ mean
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                point = (2 * matrix(b.column(1)) + 1 - levels) / levels
+                norm, scale = b.column(2).to_numpy(), b.column(3).to_numpy()
+                length = norm * scale
+                cross = (turned @ point.T) * length  # of centred query and centred row
+                if metric in (Metric.L2, Metric.FULL_L2):
+                    d = np.maximum((turned**2).sum(1)[:, None] + norm**2 - 2 * cross, 0)
+                    d = np.sqrt(d) if metric is Metric.FULL_L2 else d
+                else:
+                    # <q, x> = <q - m, x - m> + <q, m> + <m, x> - <m, m>
+                    product = cross + (own @ mean)[:, None] + (point @ spin) * length
+                    d = -product if metric is Metric.INNER_PRODUCT else 1 - product
+                i, j = np.nonzero(keep(0, d))
+                yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(b.column(0).to_numpy()[j]), pa.array(d[i, j])], ["qid", "id", "distance"])
+
+        part = codes.select("id", F.col("code").cast("array<double>").alias("code"), "norm", "scale").mapInArrow(run, "qid long, id long, distance double")
+        out = out.unionByName(part.withColumn("distance", F.round("distance", DIGITS) + F.lit(0.0)))
+    return top(out, k).select("qid", "id", "rank", "distance")

@@ -36,7 +36,7 @@ def matrix(col: pa.Array) -> np.ndarray:
 
 
 def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) in blocks of at most QUERY_BYTES; one block is on the driver at a time."""
+    """(ids, vectors) in blocks of about QUERY_BYTES; a block is on the driver until it is broadcast."""
     queries = queries.select(F.col("qid").cast("long").alias("qid"), F.col("query").cast("array<double>").alias("query")).where("query is not null")
     size = queries.agg(F.sum(F.size("query") * 8).alias("n")).first().n or 0
     blocks = 1 + size // QUERY_BYTES
@@ -222,6 +222,17 @@ def without_start_points(start_ids: list[int]):
     return step
 
 
+def bits_of(vec: Column) -> Column:
+    """A vector's sign bits as 0.0 and 1.0, 1 where a value is above zero: squared L2 of these is the Hamming
+    distance, and the inner product the number of ones in both."""
+    return F.transform(vec, lambda x: F.when(x > 0, 1.0).otherwise(0.0).cast("float"))
+
+
+def bit_knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str | Metric = Metric.L2) -> DataFrame:
+    """Nearest by sign bits: ``l2`` is the Hamming distance, ``innerproduct`` minus the ones in both."""
+    return knn(base.select("id", bits_of(F.col("vec")).alias("vec")), queries.select("qid", bits_of(F.col("query")).alias("query")), k, metric)
+
+
 # --- several vectors for one document -----------------------------------------
 
 
@@ -231,7 +242,8 @@ def multivector(base: DataFrame, queries: DataFrame, how: str = "chamfer", k: in
     base: (doc, pos, vec); queries: (qid, pos, query). how: ``chamfer`` sums over the query's
     vectors the smallest minus-inner-product to the document's; ``max_sim`` keeps them by query
     vector; ``average_pairwise`` and ``min_pairwise`` are squared L2 over all pairs; ``avg_of_mins``
-    averages the smallest squared L2. A batch sends one number per (query vector, document).
+    averages the smallest squared L2. A batch sends one number per (query vector, document). Vectors
+    of another dimension are skipped.
     """
     metric = Metric.INNER_PRODUCT if how in ("chamfer", "max_sim") else Metric.L2
     spark = base.sparkSession
@@ -248,6 +260,7 @@ def multivector(base: DataFrame, queries: DataFrame, how: str = "chamfer", k: in
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             owner, pos, q = sent.value
             for b in batches:
+                b = b.filter(pa.compute.equal(pa.compute.list_value_length(b.column(1)), q.shape[1])) if b.num_rows else b
                 if not b.num_rows:
                     continue
                 doc, m = b.column(0).to_numpy(), matrix(b.column(1))

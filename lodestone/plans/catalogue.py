@@ -1,7 +1,7 @@
 """Registered queries over the test tables, with the SQL that gives the same rows.
 
-Query vectors are the rows with vec_id below 10 unless a query says otherwise: a stated query
-set against all rows.
+Query vectors are the rows whose vec_id is divisible by 50: a stated query set against all rows.
+Pivots and pinned codebooks are other rows.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ def base(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 
 
-def asked(rows: DataFrame, below: int = 10) -> DataFrame:
-    return rows.where(F.col("id") < below).select(F.col("id").alias("qid"), F.col("vec").alias("query"))
+def asked(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), F.col("vec").alias("query"))
 
 
 # --- SQL parts ----------------------------------------------------------------
@@ -51,8 +51,13 @@ COS = "1 - list_cosine_similarity(q.embedding::double[], b.embedding::double[])"
 CN = "1 - list_inner_product(q.embedding::double[], b.embedding::double[])"
 
 
-def pairs_sql(d: str = L2, where: str = "true", below: int = 10, source: str = E) -> str:
-    return f"select q.vec_id as qid, b.vec_id as id, round({d}, 6) + 0.0 as distance, b.label as label from {E} q, {source} b where q.vec_id < {below} and {where}"
+def pairs_sql(d: str = L2, where: str = "true", queries: str = "q.vec_id % 50 = 0", source: str = E) -> str:
+    return f"select q.vec_id as qid, b.vec_id as id, round({d}, 6) + 0.0 as distance, b.label as label from {E} q, {source} b where {queries} and {where}"
+
+
+def _metric_sql(d: str, source: str) -> str:
+    """Pairs with a derived table (vec_id, embedding) that is named before."""
+    return f"select q.vec_id as qid, b.vec_id as id, round({d}, 6) + 0.0 as distance from {E} q, {source} b where q.vec_id % 50 = 0"
 
 
 def ranked_sql(pairs: str, k: int, low: int = 0) -> str:
@@ -90,14 +95,19 @@ def distance_columns(spark, sf):
 
 
 @query(f"""select qid, id, rank, bits from (select q.vec_id as qid, b.vec_id as id, list_sum(list_transform(list_zip(q.embedding, b.embedding), lambda p: case when (p[1] > 0) <> (p[2] > 0) then 1 else 0 end))::int as bits,
-row_number() over (partition by q.vec_id order by list_sum(list_transform(list_zip(q.embedding, b.embedding), lambda p: case when (p[1] > 0) <> (p[2] > 0) then 1 else 0 end)), b.vec_id)::int as rank from {E} q, {E} b where q.vec_id < 10) where rank <= 10""")
+row_number() over (partition by q.vec_id order by list_sum(list_transform(list_zip(q.embedding, b.embedding), lambda p: case when (p[1] > 0) <> (p[2] > 0) then 1 else 0 end)), b.vec_id)::int as rank from {E} q, {E} b where q.vec_id % 50 = 0) where rank <= 10""")
 def hamming_sign_knn(spark, sf):
     rows = base(spark, sf)
-    codes = rows.select("id", V.sign_words(F.col("vec"), 64).alias("w"))
-    q = F.broadcast(codes.where("id < 10").select(F.col("id").alias("qid"), F.col("w").alias("qw")))
-    pairs = codes.join(q).select("qid", "id", V.hamming(F.col("w"), F.col("qw")).cast("int").alias("bits"))
-    order = Window.partitionBy("qid").orderBy("bits", "id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where("rank <= 10").select("qid", "id", "rank", "bits")
+    return search.bit_knn(rows, asked(rows), 10).select("qid", "id", "rank", F.col("distance").cast("int").alias("bits"))
+
+
+_BOTH = "list_sum(list_transform(list_zip(q.embedding, b.embedding), lambda p: case when p[1] > 0 and p[2] > 0 then 1 else 0 end))"
+
+
+@query(ranked_sql(pairs_sql(f"-{_BOTH}::double"), 10))
+def bit_inner_product_knn(spark, sf):
+    rows = base(spark, sf)
+    return search.bit_knn(rows, asked(rows), 10, "innerproduct")
 
 
 # --- filters ------------------------------------------------------------------
@@ -241,7 +251,7 @@ def diverse_knn(spark, sf):
     return search.diverse_knn(rows, asked(rows), F.col("label"), 10, 2)
 
 
-@query(ranked_sql(pairs_sql(where="q.vec_id in (3, 7) and b.vec_id <> q.vec_id"), 10))
+@query(ranked_sql(pairs_sql(where="b.vec_id <> q.vec_id", queries="q.vec_id in (3, 7)"), 10))
 def knn_by_element(spark, sf):
     return search.knn_by_element(base(spark, sf), [3, 7], 10)
 
@@ -282,16 +292,16 @@ def probe_table(spark, sf):
     return base(spark, sf).agg(F.max(F.size("vec")).alias("dim"), F.count("*").alias("n"))
 
 
-@query(ranked_sql(pairs_sql(source="(select * from embeddings where vec_id <= 400)"), 5).replace("select qid, id, rank, distance from", "select r.qid, r.id, r.rank, r.distance, e.label from (select qid, id, rank, distance from") + ") r join embeddings e on r.id = e.vec_id")
+@query(ranked_sql(pairs_sql(source=E), 5).replace("select qid, id, rank, distance from", "select r.qid, r.id, r.rank, r.distance, e.label from (select qid, id, rank, distance from") + ") r join embeddings e on r.id = e.vec_id")
 def knn_with_payload(spark, sf):
     rows = base(spark, sf)
-    hits = search.knn(rows.where("id <= 400"), asked(rows), 5)
+    hits = search.knn(rows, asked(rows), 5)
     return hits.join(rows.select("id", "label"), "id").select("qid", "id", "rank", "distance", "label")
 
 
 # --- several vectors for one document -------------------------------------------
 
-_MV = f"(select q.vec_id % 3 as qid, q.vec_id as qpos, b.label::bigint as doc, {{d}} as d from {E} q, {E} b where q.vec_id < 9)"
+_MV = f"(select q.vec_id // 50 % 3 as qid, q.vec_id as qpos, b.label::bigint as doc, {{d}} as d from {E} q, {E} b where q.vec_id % 50 = 0)"
 _MVQ = {"maxsim": None, "chamfer": "sum(low)", "mv_average_pairwise": None, "mv_min_pairwise": "min(low)", "mv_avg_of_mins": "avg(low)"}
 
 
@@ -299,7 +309,7 @@ def _multi(name: str, how: str, sql: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         rows = base(spark, sf)
         docs = rows.select(F.col("label").alias("doc"), F.col("id").alias("pos"), "vec")
-        q = rows.where("id < 9").select((F.col("id") % 3).alias("qid"), F.col("id").alias("pos"), F.col("vec").alias("query"))
+        q = rows.where("id % 50 = 0").select((F.floor(F.col("id") / 50) % 3).alias("qid"), F.col("id").alias("pos"), F.col("vec").alias("query"))
         return search.multivector(docs, q, how)
 
     run.__name__ = name
@@ -343,11 +353,11 @@ def recall_ties(spark, sf):
     return evaluate.recall_with_ties(found, truth, 10, 10).select(F.round("average", 6).alias("average"), "least", "most")
 
 
-@query(f"with t as ({ranked_sql(pairs_sql(where='b.label = 2 and q.vec_id <> 5'), 10)}), f as ({ranked_sql(pairs_sql(where='b.label = 2 and b.vec_id % 3 <> 1'), 10)}), n as (select vec_id as qid from embeddings where vec_id < 10), a as (select n.qid, (select count(*) from t where t.qid = n.qid) as nt, (select count(*) from f where f.qid = n.qid) as nf, (select count(*) from t join f on t.qid = f.qid and t.id = f.id where t.qid = n.qid) as h from n) select qid, case when nt = 0 then 100.0 else round(100 * h / greatest(least(10, nt), nf), 6) end as recall from a")
+@query(f"with t as ({ranked_sql(pairs_sql(where='b.label = 2 and q.vec_id <> 50'), 10)}), f as ({ranked_sql(pairs_sql(where='b.label = 2 and b.vec_id % 3 <> 1'), 10)}), n as (select vec_id as qid from embeddings where vec_id % 50 = 0), a as (select n.qid, (select count(*) from t where t.qid = n.qid) as nt, (select count(*) from f where f.qid = n.qid) as nf, (select count(*) from t join f on t.qid = f.qid and t.id = f.id where t.qid = n.qid) as h from n) select qid, case when nt = 0 then 100.0 else round(100 * h / greatest(least(10, nt), nf), 6) end as recall from a")
 def filtered_recall(spark, sf):
     rows = base(spark, sf)
     own = rows.where("label = 2")
-    truth = search.knn(own, asked(rows).where("qid <> 5"), 10)
+    truth = search.knn(own, asked(rows).where("qid <> 50"), 10)
     found = search.knn(own.where("id % 3 <> 1"), asked(rows), 10)
     return evaluate.filtered_recall(found, truth, asked(rows), 10).select("qid", F.round("recall", 6).alias("recall"))
 
@@ -375,7 +385,7 @@ def benchmark_percentiles(spark, sf):
     return evaluate.benchmark_percentiles(table(spark, sf, "events"), "value").withColumn("mean", F.round("mean", 6)).withColumn("median", F.round("median", 6))
 
 
-@query(f"with p as (select q.vec_id as qid, b.vec_id as id, {L2} as d from {E} q, {E} b where q.vec_id < 10), n as (select qid, avg(d) as near from (select *, row_number() over (partition by qid order by round(d, 6), id) as r from p where id <> qid) where r <= 10 group by 1), f as (select qid, avg(d) as far from p group by 1) select round(avg(far / near), 4) as contrast from n join f using (qid)")
+@query(f"with p as (select q.vec_id as qid, b.vec_id as id, {L2} as d from {E} q, {E} b where q.vec_id % 50 = 0), n as (select qid, avg(d) as near from (select *, row_number() over (partition by qid order by round(d, 6), id) as r from p where id <> qid) where r <= 10 group by 1), f as (select qid, avg(d) as far from p group by 1) select round(avg(far / near), 4) as contrast from n join f using (qid)")
 def relative_contrast(spark, sf):
     rows = base(spark, sf)
     return cluster.relative_contrast(rows, asked(rows), 10).select(F.round("contrast", 4).alias("contrast"))
@@ -464,17 +474,17 @@ def singular_energy(spark, sf):
 
 
 def _pinned(spark, sf):
-    """A codebook pinned to the first 16 rows, 8 chunks of 8."""
+    """A codebook pinned to rows 1 to 16, 8 chunks of 8: for its figures; ``trained_codes_recall`` learns one."""
     import numpy as np
 
     rows = base(spark, sf)
-    first = sorted(rows.where("id < 16").select("id", "vec").collect(), key=lambda r: r.id)
+    first = sorted(rows.where("id between 1 and 16").select("id", "vec").collect(), key=lambda r: r.id)
     offsets = quantize.chunk_offsets(64, 8)
     return rows, quantize.train_codebook(np.array([r.vec for r in first], float), offsets, 16, 0, pinned=True), offsets
 
 
-_PQ = "with s as (select vec_id as id, c, list_slice(embedding::double[], c * 8 + 1, c * 8 + 8) as p from embeddings, (select unnest(range(8)) as c)), d as (select s.id, s.c, b.id as code, round(pow(list_distance(s.p, b.p), 2), 12) as d from s join s b on s.c = b.c and b.id < 16), codes as (select id, c, code from (select *, row_number() over (partition by id, c order by d, code) as r from d) where r = 1)"
-_ADC = f"{_PQ}, adc as (select q.id as qid, k.id as id, round(sum(pow(list_distance(q.p, b.p), 2)), 6) + 0.0 as distance from codes k join s b on b.id = k.code and b.c = k.c join s q on q.c = k.c and q.id < 10 group by 1, 2)"
+_PQ = "with s as (select vec_id as id, c, list_slice(embedding::double[], c * 8 + 1, c * 8 + 8) as p from embeddings, (select unnest(range(8)) as c)), d as (select s.id, s.c, b.id - 1 as code, round(pow(list_distance(s.p, b.p), 2), 12) as d from s join s b on s.c = b.c and b.id between 1 and 16), codes as (select id, c, code from (select *, row_number() over (partition by id, c order by d, code) as r from d) where r = 1)"
+_ADC = f"{_PQ}, adc as (select q.id as qid, k.id as id, round(sum(pow(list_distance(q.p, b.p), 2)), 6) + 0.0 as distance from codes k join s b on b.id = k.code + 1 and b.c = k.c join s q on q.c = k.c and q.id % 50 = 0 group by 1, 2)"
 
 
 @query(f"{_PQ} select id, c::int as chunk, code::int as code from codes")
@@ -494,7 +504,7 @@ def pq_rerank_knn(spark, sf):
     return quantize.reranked_knn(rows, quantize.encode(rows, book, offsets), asked(rows), book, offsets, 10)
 
 
-@query(f"{_PQ} select k.id, round(sum(pow(list_distance(s.p, b.p), 2)), 6) + 0.0 as loss from codes k join s on s.id = k.id and s.c = k.c join s b on b.id = k.code and b.c = k.c group by 1")
+@query(f"{_PQ} select k.id, round(sum(pow(list_distance(s.p, b.p), 2)), 6) + 0.0 as loss from codes k join s on s.id = k.id and s.c = k.c join s b on b.id = k.code + 1 and b.c = k.c group by 1")
 def pq_decode_loss(spark, sf):
     rows, book, offsets = _pinned(spark, sf)
     back = quantize.decode(quantize.encode(rows, book, offsets), book).withColumnRenamed("vec", "near")
@@ -520,10 +530,10 @@ def hadamard_norms(spark, sf):
 
 
 def _pivots(rows: DataFrame) -> DataFrame:
-    return rows.where("id < 8").select(F.col("id").alias("shard"), F.col("vec").cast("array<double>").alias("vec"))
+    return rows.where("id between 1 and 8").select(F.col("id").alias("shard"), F.col("vec").cast("array<double>").alias("vec"))
 
 
-_SHARD = f"select b.vec_id as id, q.vec_id as shard, row_number() over (partition by b.vec_id order by round({L2}, 6), q.vec_id)::int as rank, round({L2}, 6) + 0.0 as distance from {E} q, {E} b where q.vec_id < 8"
+_SHARD = f"select b.vec_id as id, q.vec_id as shard, row_number() over (partition by b.vec_id order by round({L2}, 6), q.vec_id)::int as rank, round({L2}, 6) + 0.0 as distance from {E} q, {E} b where q.vec_id between 1 and 8"
 
 
 @query(f"select * from ({_SHARD}) where rank <= 2")
@@ -546,12 +556,11 @@ def medoid(spark, sf):
     return cluster.medoid(base(spark, sf))
 
 
-@query(f"with a as (select id, shard, rank from ({_SHARD})), w as (select id as qid, shard from a where id < 10 and rank <= 3), own as (select id, shard from a where rank = 1) {ranked_sql('select w.qid, o.id, round(' + L2 + ', 6) + 0.0 as distance from w join own o using (shard) join embeddings q on q.vec_id = w.qid join embeddings b on b.vec_id = o.id', 10)}")
+@query(f"with a as (select id, shard, rank from ({_SHARD})), w as (select id as qid, shard from a where id % 50 = 0 and rank <= 7), own as (select id, shard from a where rank = 1) {ranked_sql('select w.qid, o.id, round(' + L2 + ', 6) + 0.0 as distance from w join own o using (shard) join embeddings q on q.vec_id = w.qid join embeddings b on b.vec_id = o.id', 10)}")
 def ivf_probe_knn(spark, sf):
     rows = base(spark, sf)
     pivots = _pivots(rows)
-    own = rows.join(cluster.assign(rows, pivots).select("id", "shard"), "id")
-    return cluster.probe(own, pivots, asked(rows), 10, 3)
+    return cluster.probe(cluster.sharded(rows, pivots), pivots, asked(rows), 10, 7)
 
 
 # --- changes --------------------------------------------------------------------
@@ -614,14 +623,13 @@ def runbook_live_set(spark, sf):
 
 def _stage(n: int, source: str) -> str:
     d = L2.replace("q.embedding", "q.e").replace("b.embedding", "b.e")
-    return f"select {n} as stage, qid, id, rank, distance from (select *, row_number() over (partition by qid order by distance, id)::int as rank from (select q.vec_id as qid, b.id as id, round({d}, 6) + 0.0 as distance from (select vec_id, embedding as e from embeddings where vec_id between 200 and 204) q, ({source}) b)) where rank <= 5"
+    return f"select {n} as stage, qid, id, rank, distance from (select *, row_number() over (partition by qid order by distance, id)::int as rank from (select q.vec_id as qid, b.id as id, round({d}, 6) + 0.0 as distance from (select vec_id, embedding as e from embeddings where vec_id % 50 = 0) q, ({source}) b)) where rank <= 5"
 
 
 @query(" union all ".join([_stage(1, "select vec_id as id, embedding as e from embeddings where vec_id < 100"), _stage(3, "select vec_id as id, embedding as e from embeddings where vec_id < 100 and vec_id not between 20 and 39"), _stage(5, f"select a.id, e.embedding as e from ({_ALIVE}) a join embeddings e on e.vec_id = a.source")]))
 def runbook_search_after_delete(spark, sf):
     rows = base(spark, sf)
-    q = rows.where("id between 200 and 204").select(F.col("id").alias("qid"), F.col("vec").alias("query"))
-    return runbook.run(spark, runbook.load(_RUNBOOK, "test"), rows, q, 5)
+    return runbook.run(spark, runbook.load(_RUNBOOK, "test"), rows, asked(rows), 5)
 
 
 @query("select s.slot from (select unnest(range(600)) as slot) s where slot not in (select vec_id from embeddings where vec_id % 2 = 0)")
@@ -638,11 +646,11 @@ def element_status(spark, sf):
 
 # --- graphs ---------------------------------------------------------------------
 
-_EDGES = f"select qid as src, id as dst, rank as ord from ({ranked_sql(pairs_sql(where='b.vec_id < 200 and b.vec_id <> q.vec_id', below=200), 6)})"
+_EDGES = f"select qid as src, id as dst, rank as ord from ({ranked_sql(pairs_sql(where='b.vec_id <> q.vec_id', queries='true'), 6)})"
 
 
 def _edges(spark, sf) -> tuple[DataFrame, DataFrame]:
-    rows = base(spark, sf).where("id < 200")
+    rows = base(spark, sf)
     return rows, graph.knn_edges(rows, 6).select("src", "dst", "ord")
 
 
@@ -656,13 +664,13 @@ def undirected_edges(spark, sf):
     return graph.undirected(_edges(spark, sf)[1])
 
 
-@query(f"with e as ({_EDGES}), i as (select v.vec_id as id, count(e.dst) as n from embeddings v left join e on e.dst = v.vec_id where v.vec_id < 200 group by 1) select max(n) as max_degree, avg(n) as avg_degree, min(n) as min_degree, sum((n < 2)::int)::bigint as under_two from i")
+@query(f"with e as ({_EDGES}), i as (select v.vec_id as id, count(e.dst) as n from embeddings v left join e on e.dst = v.vec_id group by 1) select max(n) as max_degree, avg(n) as avg_degree, min(n) as min_degree, sum((n < 2)::int)::bigint as under_two from i")
 def graph_degree_stats(spark, sf):
     rows, edges = _edges(spark, sf)
     return graph.degree_stats(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), rows)
 
 
-_REACH = f"with recursive e as ({_EDGES}), r(id, level) as (select 0::bigint, 0 union select e.dst, r.level + 1 from r join e on e.src = r.id where r.level < 12), f as (select id, min(level)::int as level from r group by 1)"
+_REACH = f"with recursive e as ({_EDGES}), r(id, level) as (select 0::bigint, 0 union select e.dst, r.level + 1 from r join e on e.src = r.id where r.level < 60), f as (select id, min(level)::int as level from r group by 1)"
 
 
 @query(f"{_REACH} select * from f")
@@ -671,7 +679,7 @@ def graph_reachable(spark, sf):
     return graph.reachable(edges, rows.where("id = 0"))
 
 
-@query(f"{_REACH} select v.vec_id as id, row_number() over (order by coalesce(f.level, 1 << 30), v.vec_id) - 1 as new_id from embeddings v left join f on f.id = v.vec_id where v.vec_id < 200")
+@query(f"{_REACH} select v.vec_id as id, row_number() over (order by coalesce(f.level, 1 << 30), v.vec_id) - 1 as new_id from embeddings v left join f on f.id = v.vec_id")
 def bfs_order_levels(spark, sf):
     rows, edges = _edges(spark, sf)
     return graph.bfs_order(edges, rows, rows.where("id = 0"))
@@ -682,7 +690,7 @@ def edge_locality(spark, sf):
     return graph.locality(_edges(spark, sf)[1]).select(F.round("locality", 6).alias("locality"))
 
 
-@query(f"{_REACH}, o as (select v.vec_id as id, row_number() over (order by coalesce(f.level, 1 << 30), v.vec_id) - 1 as n from embeddings v left join f on f.id = v.vec_id where v.vec_id < 200) select round(avg(abs(a.n - b.n)), 6) as locality from e join o a on a.id = e.src join o b on b.id = e.dst")
+@query(f"{_REACH}, o as (select v.vec_id as id, row_number() over (order by coalesce(f.level, 1 << 30), v.vec_id) - 1 as n from embeddings v left join f on f.id = v.vec_id) select round(avg(abs(a.n - b.n)), 6) as locality from e join o a on a.id = e.src join o b on b.id = e.dst")
 def reordered_locality(spark, sf):
     rows, edges = _edges(spark, sf)
     order = graph.bfs_order(edges, rows, rows.where("id = 0"))
@@ -713,23 +721,6 @@ def robust_prune(spark, sf):
     return graph.robust_prune(graph.knn_edges(rows, 40), rows, 8)
 
 
-@query()
-def hnsw_partition_search(spark, sf):
-    rows = base(spark, sf)
-    return graph.graph_search(rows.withColumn("part", F.col("id") % 4), asked(rows), 10)
-
-
-@query()
-def layered_graph_edges(spark, sf):
-    return graph.build_layers(base(spark, sf).withColumn("part", F.col("id") % 4), 8)
-
-
-@query()
-def recorded_walk(spark, sf):
-    rows = base(spark, sf)
-    return graph.recorded_search(rows.withColumn("part", F.col("id") % 4), asked(rows), 20)
-
-
 @query()
 def gorder_reorder(spark, sf):
     rows = base(spark, sf)
@@ -781,6 +772,10 @@ def policy_cluster_score(spark, sf):
     return t.select("trace", *[F.round(c, 6).alias(c) for c in t.columns[1:]], F.round(score, 6).alias("score"), models.policy_cluster(score).alias("cluster"))
 
 
-@query(f"with e as ({_EDGES}), p as (select src, dst from e where ord <= 3) select src, dst, r::int as repeat from p, (select unnest([1, 2]) as r)")
+@query(f"with e as ({_EDGES}), p as (select src, dst from e where ord <= 3) select src, dst, r::int as repeat, row_number() over (partition by src, r order by dst)::int as place from p, (select unnest([1, 2]) as r)")
 def prefetch_candidates(spark, sf):
     return models.prefetch_candidates(_edges(spark, sf)[1].withColumn("layer", F.lit(0)), 3, 2)
+
+
+# The queries over stored indexes, files, stores and streams register themselves here too.
+from . import stored  # noqa: E402, F401

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,11 +13,17 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators.mutate import last_writes
 
 
+#: Buckets of a live table by a hash of the id.
+BUCKETS = 16
+
+
 class LiveTable:
-    """Rows (id, vec) in numbered snapshots; a pointer file names the current one.
+    """Rows (id, vec) in buckets by id; a version names, for every bucket, the batch that wrote it last.
 
     A batch is applied by its number: one that was applied before changes nothing, so a
-    restarted stream repeats safely. ``log`` rows are (id, seq, op, vec).
+    restarted stream repeats safely. ``log`` rows are (id, seq, op, vec). Only the buckets that a
+    batch touches are written anew. Sequence numbers stay with the rows, deleted ones too, so a
+    change that comes late doesn't undo a newer one.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -31,24 +38,46 @@ class LiveTable:
         fs, p = self._fs("versions")
         if not fs.exists(p):
             return -1
-        return max((int(s.getPath().getName()) for s in fs.listStatus(p)), default=-1)
+        return max((int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()), default=-1)
 
-    def read(self) -> DataFrame:
+    def _writers(self) -> dict[int, int]:
+        """The batch that wrote each bucket last."""
         v = self.version()
         if v < 0:
-            return self.spark.createDataFrame([], "id long, vec array<float>")
-        return self.spark.read.schema("id long, vec array<float>").parquet(f"{self.path}/snapshot-{v}")
+            return {}
+        return {int(k): n for k, n in json.loads(self.spark.read.text(f"{self.path}/versions/{v}").first().value).items()}
+
+    def _states(self, writers: dict[int, int]) -> DataFrame:
+        """(id, seq, vec) of some buckets; deleted ids have no vec."""
+        kinds = "id long, seq long, vec array<float>"
+        if not writers:
+            return self.spark.createDataFrame([], kinds)
+        return self.spark.read.schema(kinds).parquet(*[f"{self.path}/batch-{n}/bucket={b}" for b, n in sorted(writers.items())])
+
+    def read(self) -> DataFrame:
+        return self._states(self._writers()).where("vec is not null").select("id", "vec")
 
     def apply(self, log: DataFrame, batch: int) -> None:
-        """Upserts and deletes of one batch, the last of each id; then the version's mark, made at once."""
+        """Upserts and deletes of one batch, the last of each id; then the version's mark, put in place at once."""
         if batch <= self.version():
             return
-        last = last_writes(log.select("id", "seq", "op", "vec"))
-        kept = self.read().join(last.select("id"), "id", "left_anti")
-        new = last.where("op <> 'delete'").select("id", F.col("vec").cast("array<float>").alias("vec"))
-        kept.unionByName(new).write.mode("overwrite").parquet(f"{self.path}/snapshot-{batch}")
-        fs, p = self._fs(f"versions/{batch}")
-        fs.create(p, True).close()
+        vec = F.when(F.col("op") != "delete", F.col("vec").cast("array<float>"))
+        new = last_writes(log.select("id", F.col("seq").cast("long").alias("seq"), vec.alias("vec")))
+        bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
+        touched = [r.b for r in new.select(bucket.alias("b")).distinct().collect()]
+        writers = self._writers()
+        old = self._states({b: n for b, n in writers.items() if b in touched})
+        merged = last_writes(old.unionByName(new)).withColumn("bucket", bucket)
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch-{batch}")
+        now = writers | dict.fromkeys(touched, batch)
+        fs, part = self._fs(f"versions/.{batch}")
+        out = fs.create(part, True)
+        out.write(json.dumps(now).encode())
+        out.close()
+        fs.rename(part, self._fs(f"versions/{batch}")[1])
+        for n in set(writers.values()) - set(now.values()):  # no bucket reads these any more
+            fs, gone = self._fs(f"batch-{n}")
+            fs.delete(gone, True)
 
     def stream(self, log: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
         """Apply a streaming log; batches are bounded by the source's maxFilesPerTrigger."""

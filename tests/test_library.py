@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
 from lodestone.operators import cluster, evaluate, filters, generate, graph, models, mutate, quantize, search
+from lodestone.operators.index import GraphIndex
 from lodestone.plans.store import Spec, VectorStore, run_jobs, strategy
 from lodestone.sources import files, labels
 from lodestone.streaming import ingest, runbook
@@ -190,13 +191,49 @@ def test_rotations_keep_distances():
 # --- graphs and partitions ---------------------------------------------------------------
 
 
-def test_layered_graph_recall(spark):
+def test_layered_graph_recall(spark, tmp_path):
     m = np.zeros((512, 32), np.float32)
     m[:, 0], m[:, 1] = 0.01 * np.arange(512), np.arange(512) % 7
     base = frame(spark, [(i, v.tolist()) for i, v in enumerate(m)])
     q = base.where("id < 50").select(F.col("id").alias("qid"), F.col("vec").alias("query"))
-    got = graph.graph_search(base.withColumn("part", F.col("id") % 2), q, 10, 64)
+    index = GraphIndex.build(base, f"file://{tmp_path}/index", part_rows=256)
+    got = GraphIndex.open(spark, index.path, 32).search(q, 10, 64)
     assert evaluate.recall(got, search.knn(base, q, 10), 10).first().recall >= 0.95
+    nothing = q.limit(0)
+    assert index.search(nothing, 10).count() == index.recorded(nothing).count() == index.costs(nothing).count() == 0
+    with pytest.raises(ValueError, match="dimensions"):
+        GraphIndex.open(spark, index.path, 31)
+    with pytest.raises(ValueError, match="below k"):
+        index.search(q, 10, 5)
+
+
+def test_graph_of_awkward_rows(spark, tmp_path):
+    """Repeated vectors, a zero vector, a null one, one row only, and no rows."""
+    rows = [(i, [1.0, 2.0]) for i in range(40)] + [(50, [0.0, 0.0]), (51, None), (52, [5.0, 5.0])]
+    q = spark.createDataFrame([(0, [1.0, 2.0]), (1, [4.0, 5.0]), (2, None), (3, [1.0])], "qid long, query array<double>")
+    for metric in ("l2", "cosine", "innerproduct"):
+        index = GraphIndex.build(frame(spark, rows), f"file://{tmp_path}/{metric}", metric)
+        got = index.search(q, 1, 60).collect()
+        want = search.knn(frame(spark, rows), q.where("qid < 2"), 1, metric).collect()
+        assert sorted(r.qid for r in got) == sorted(r.qid for r in want) == [0, 1]
+        assert [r.distance for r in sorted(got)] == pytest.approx([r.distance for r in sorted(want)], abs=1e-5)
+    for n in (0, 1):
+        index = GraphIndex.build(frame(spark, [(7, [1.0, 2.0])]).limit(n), f"file://{tmp_path}/n{n}")
+        assert index.search(q, 5).count() == 2 * n
+
+
+def test_graph_prune_is_the_one_row_rule():
+    from lodestone.operators import index
+
+    r = np.random.default_rng(3)
+    v = r.normal(size=(60, 4))
+    for _ in range(20):
+        centre = int(r.integers(60))
+        c = np.setdiff1d(r.choice(60, 25, replace=False), [centre])
+        d = ((v[c] - v[centre]) ** 2).sum(1)
+        order = np.lexsort((c, np.round(d, 9)))
+        got = index.thinned(v, c[order][None], d[order][None], 6, 1.2)[0]
+        assert got[got >= 0].tolist() == c[graph.prune_candidates(v[centre], c, v[c], 6, 1.2)].tolist()
 
 
 def test_prune_drops_covered_candidates():
@@ -308,7 +345,90 @@ def test_store_sees_changes_at_once(spark, tmp_path):
         assert s.card() == 41 and s.delta is None
     with pytest.raises(ValueError):
         Spec(k=20, length=10).checked()
-    assert strategy(Spec(), 10) == "exact" and strategy(Spec(), 10**9) == "partitions" and strategy(Spec(radius=1.0), 10**9) == "exact"
+    assert strategy(Spec()) == "exact" and strategy(Spec(radius=1.0)) == "exact" and strategy(Spec(mode="graph")) == "graph"
+    for bad in (Spec(mode="graph", radius=1.0), Spec(mode="none")):
+        with pytest.raises(ValueError):
+            strategy(bad)
+    with pytest.raises(ValueError, match="no stored graph"):
+        s.search(q, Spec(mode="graph"))
+
+
+def test_store_modes_honour_metric_and_page(spark, tmp_path):
+    _, base = random_rows(spark, 60, 4)
+    base.write.parquet(f"{tmp_path}/m")
+    q = base.where("id < 3").select(F.col("id").alias("qid"), F.col("vec").alias("query"))
+    s = VectorStore.open(spark, f"{tmp_path}/m")
+    s.build_graph("cosine")
+    s.build_partitions(4, metric="cosine")
+    s.build_codes(4)
+    want = sorted(map(tuple, s.search(q, Spec(k=5, metric="cosine", page=2)).collect()))
+    assert len(want) == 15
+    for mode, more in (("graph", {}), ("partitions", {"probes": 4}), ("codes", {"multiple": 12})):
+        assert sorted(map(tuple, s.search(q, Spec(k=5, metric="cosine", page=2, mode=mode, **more)).collect())) == want
+    with pytest.raises(ValueError, match="is for cosine"):
+        s.search(q, Spec(mode="graph", metric="l2"))
+
+
+def test_pending_bytes_flush(spark, tmp_path):
+    _, base = random_rows(spark, 10, 4)
+    base.write.parquet(f"{tmp_path}/b")
+    s = VectorStore.open(spark, f"{tmp_path}/b")
+    s.limit_bytes = 32
+    s.insert(frame(spark, [(100, [1.0, 1.0, 1.0, 1.0])]))
+    assert s.delta is not None
+    s.insert(frame(spark, [(101, [1.0, 1.0, 1.0, 1.0])]))
+    assert s.delta is None and s.card() == 12
+
+
+def test_a_late_change_does_not_undo_a_newer_one(spark, tmp_path):
+    log = "id long, seq long, op string, vec array<float>"
+    live = ingest.LiveTable(spark, f"file://{tmp_path}/live")
+    for n, row in enumerate([(1, 5, "insert", [1.0]), (2, 6, "insert", [2.0]), (1, 9, "delete", None), (1, 7, "insert", [7.0])]):
+        live.apply(spark.createDataFrame([row], log), n)
+    assert [tuple(r) for r in live.read().collect()] == [(2, [2.0])] and live.version() == 3
+
+
+def test_deep_json_is_flattened(spark):
+    deep = "1"
+    for i in range(12):
+        deep = f'{{"a{i}": {deep}}}'
+    docs = spark.createDataFrame([(0, deep), (1, '[1, {"b": [{"c": [true, {"d": "x"}]}]}]'), (2, None), (3, "{}")], "doc_id long, j string")
+    got = {(r.doc_id, r.path, r.kind, r.value) for r in filters.flatten_json(docs, "doc_id", F.parse_json("j")).where("value is not null").collect()}
+    assert got == {(0, ".".join(f"a{i}" for i in range(11, -1, -1)), "int", "1"), (1, "0", "int", "1"), (1, "1.b.0.c.0", "bool", "true"), (1, "1.b.0.c.1.d", "string", "x")}
+
+
+def test_keys_sort_as_values(spark):
+    values = [("a", "int", str(x)) for x in (-(1 << 62), -5, 0, 3, 1 << 62)] + [("a", "real", str(x)) for x in (-1e300, -2.5, -1e-9, 0.0, 1e-9, 7.25, 1e300)] + [("a", "bool", "false"), ("a", "bool", "true"), ("b", "string", "x")]
+    rows = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "i int, path string, kind string, value string")
+    got = [(r.kind, r.i) for r in rows.withColumn("k", filters.sort_key(F.col("path"), F.col("kind"), F.col("value"))).orderBy("k").collect()]
+    for kind in ("int", "real", "bool"):
+        own = [i for k, i in got if k == kind]
+        assert own == sorted(own)
+
+
+def test_ids_are_used_again(spark):
+    used = spark.createDataFrame([(0,), (2,), (5,)], "id long")
+    new = spark.createDataFrame([(x,) for x in "abcde"], "name string")
+    assert [r.id for r in mutate.allocate(new, used, ["name"]).orderBy("name").collect()] == [1, 3, 4, 6, 7]
+
+
+def test_more_start_points(spark):
+    base = frame(spark, [(i, [float(i), 2.0 * i]) for i in range(1, 9)])
+    points = np.array([r.vec for r in cluster.start_points(base, "latin", 4).collect()])
+    assert sorted(np.floor((points[:, 0] - 1) / 7 * 4).tolist()) == [0, 1, 2, 3]
+    size = np.mean([np.hypot(i, 2 * i) for i in range(1, 9)])
+    assert np.allclose([np.hypot(*r.vec) for r in cluster.start_points(base, "random", 3).collect()], size)
+
+
+def test_prefetch_phases(spark):
+    edges = spark.createDataFrame([(s, d, o, 0) for s in (1, 2) for o, d in enumerate((9, 3, 7, 5), 1)], "src long, dst long, ord int, layer int")
+    got = models.prefetch_candidates(edges, 2, second_fan_out=3, switched=F.col("src") == 2).orderBy("src", "place").collect()
+    assert [(r.src, r.dst) for r in got] == [(1, 3), (1, 9), (2, 3), (2, 7), (2, 9)]
+
+
+def test_strata_hold_one_point_each(spark):
+    points = np.array([r.vec for r in generate.hypercube_points(spark, 9, 2).collect()])
+    assert all(sorted(np.floor(points[:, d] * 9 + 1e-6).tolist()) == list(range(9)) for d in range(2))
 
 
 def test_jobs(spark, tmp_path):
@@ -387,9 +507,13 @@ def test_command_line(spark, tmp_path, capsys):
     main(["probe", f"{tmp_path}/v.fvecs"])
     main(["import", f"{tmp_path}/v.fvecs", f"{tmp_path}/w"])
     main(["truth", f"{tmp_path}/w", f"{tmp_path}/w", f"{tmp_path}/t", "--k", "3"])
+    main(["build", f"{tmp_path}/w", f"{tmp_path}/w.graph", "--m", "8"])
     main(["evaluate", f"{tmp_path}/w", f"{tmp_path}/w", f"{tmp_path}/t", "--k", "3", "--spec", '{"mode": "graph"}'])
     lines = [json.loads(x) for x in capsys.readouterr().out.strip().splitlines()]
-    assert lines[0] == {"kind": "fvecs", "dimensions": 5, "rows": 60} and lines[1]["recall"] > 0.95
+    assert lines[0] == {"kind": "fvecs", "dimensions": 5, "rows": 60} and lines[1]["rows"] == 60 and lines[2]["recall"] > 0.95
+    spark.createDataFrame([(3, 1), (1, 2)], "src long, dst long").write.parquet(f"{tmp_path}/e")
+    main(["reorder", f"{tmp_path}/e", f"{tmp_path}/r", "--start", "3"])
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/r").collect())) == [(0, 1), (1, 2)]
 
 
 def test_reachable_walks_to_the_end(spark):
