@@ -40,6 +40,8 @@ from .common import Tables, chunks, components, shingle_sets, small_batches, tex
 HEAVY_FROM, HEAVY_MOST = 32, 1 << 20
 #: Entries of a block of one list; shingles and sets of a block of one relation group.
 LIST_BLOCK, GROUP_BLOCK, GROUP_SETS = 20_000, 4_000_000, 8192
+#: Entries up to which a list's positions are compared one by one.
+SHORT_LIST = 4096
 #: Shingles gathered before a task writes a run of counts.
 RUN = 4_000_000
 #: Bits of the filter that says which classes' sets are needed; its size never grows.
@@ -248,9 +250,17 @@ def position_runs(n: np.ndarray, pos: np.ndarray, percent: int):
 
     Entries of one size are one block, sorted by position. Of a block, the positions at which
     the rest of both sets can still overlap enough are one interval, so two binary searches
-    skip all else, block by block; blocks of too small a size are skipped as a whole.
+    skip all else, block by block; blocks of too small a size are skipped as a whole. In a list of
+    SHORT_LIST entries at most positions are compared at once instead.
     """
-    sizes, starts = np.unique(n, return_index=True)
+    if len(n) <= SHORT_LIST:  # fewer steps than the searches would take
+
+        def all_before(i: int) -> np.ndarray:
+            first = np.searchsorted(n, need(int(n[i]), percent))
+            return first + np.flatnonzero(by_position(n[i], n[first:i], pos[i], pos[first:i], percent))
+
+        return all_before
+    sizes = np.unique(n)
     span = int(pos.max()) + 2
     key = n * span + pos
 

@@ -88,10 +88,12 @@ def test_uncounted_long_lists_are_cut(documents, monkeypatch):
     check(documents(corpus(9, 40, (30, 40)) + [f"a b c d e f g h i j {r.randrange(3)} k l m n o p q r s t {r.randrange(30)}" for _ in range(120)]), 1, 80)
 
 
+@pytest.mark.parametrize("short", [0, 1000])
 @pytest.mark.parametrize("percent", [60, 80, 90])
-def test_position_runs_are_the_position_test(percent):
+def test_position_runs_are_the_position_test(percent, short, monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(jaccard, "SHORT_LIST", short)
     r = np.random.default_rng(percent)
     n = np.sort(r.integers(1, 40, 300))
     pos = np.array([r.integers(0, x) for x in n])
