@@ -67,6 +67,19 @@ def test_report_is_brute_force(spark, documents, awkward, buckets, monkeypatch):
     assert sorted(got, key=key) == sorted(expected([(r.doc_id, r.text) for r in docs.collect()]), key=key)
 
 
+@pytest.mark.parametrize("ids", [(None, 7), (None, None), (7, 9), (0, 59)])
+def test_ids_that_many_rows_share_are_cut(spark, documents, ids, monkeypatch):
+    r = random.Random(4)
+    texts = [f"{'shared beginning ' * (i % 3)}{r.random()} text {i} " * 9 for i in range(400)] + ["same text " * 20] * 200 + [None, ""] * 20
+    docs = documents(texts, ids=[ids[i % 2] if i % 3 else i % 60 for i in range(len(texts))]).repartition(5)
+    dealt = winnow.with_next(docs, 12).groupBy("bucket").count().collect()
+    assert max(x["count"] for x in dealt) < len(texts) / 4
+    bucketed = winnow.with_next
+    monkeypatch.setattr(winnow, "with_next", lambda d: bucketed(d, 12))
+    got = [tuple(x) for x in winnow.edit_report(docs).collect()]
+    assert sorted(got, key=repr) == sorted(expected([(x.doc_id, x.text) for x in docs.collect()]), key=repr)
+
+
 def test_one_row_and_none(documents):
     r = winnow.edit_report(documents(["abcdef" * 20])).collect()
     assert len(r) == 1 and r[0].near_next == 1.0
