@@ -36,10 +36,10 @@ def unused(docs: DataFrame, name: str) -> str:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one or several of the languages that are learned from the labelled ones of docs itself.
+    """Documents in one or several of the languages that are learned from all labelled ones of docs itself.
 
     A document goes if its text is null or has no letter, or if the field is too unsure of its
-    words one by one (junk, text of other languages). Without labelled documents nothing is
+    words one by one (junk, text of other languages), compared with all labelled ones. Without labelled documents nothing is
     learned: then only texts without a letter go. Repeated rows fare alike; an empty table
     gives no rows; columns of any name stay as they are.
     """
@@ -47,7 +47,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.langs:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     name = unused(docs, "lang_")
-    known = langid.identify(docs, model, name)
+    known = Tables(spark, "languages").write(langid.identify(docs, model, name))
+    model.usual = langid.median_sure(known.where(F.col("lang").isNotNull()).select(name + "sure"))
     return known.where((F.col(name + "pred") != "und") & (F.col(name + "sure") >= F.lit(model.least_sure()))).select(*docs.columns)
 
 

@@ -101,3 +101,22 @@ def test_long_and_null_texts_do_not_cost_a_language(spark):
     model = langid.fit(docs, 40)
     assert model.langs == ["en", "fr"]
     assert langid.predictions(model, pa.array([by["en"][3000:6000], by["fr"][6000:9000]]))[0] == ["en", "fr"]
+
+
+def test_rows_beyond_the_starting_sample_are_learned(spark):
+    """Words that only rows outside the sample hold are told apart, and are in the lexicon."""
+    rng = np.random.default_rng(5)
+    words = {(lang, part): ["".join(rng.choice(list(signs), 5)) for _ in range(12)] for (lang, part), signs in {("en", 0): "abcde", ("fr", 0): "vwxyz", ("en", 1): "klm", ("fr", 1): "opq"}.items()}
+    ids = [r.id for r in spark.range(600).where(~langid.is_held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").collect()]
+    data = [(x, " ".join(rng.choice(words[lang, int(i >= 40)], 30)), lang) for i, x in enumerate(ids) for lang in [("en", "fr")[i % 2]]]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(docs, 40)
+    assert langid.predictions(model, pa.array([" ".join(words["en", 1]), " ".join(words["fr", 1]), " ".join(words["fr", 0])]))[0] == ["en", "fr", "fr"]
+    keys = langid.featured(*langid.text_buffers(pa.array([" ".join(words["en", 1])]))).key
+    assert (model.entry(keys) < len(model.lexicon)).all()
+
+
+def test_sureness_is_measured_on_all_rows(spark):
+    sure = np.random.default_rng(6).random(999)
+    got = langid.median_sure(spark.createDataFrame([(float(x),) for x in [*sure, 0, 0]], "s double"))
+    assert abs(got - np.median(sure)) < 1e-4
