@@ -29,6 +29,14 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
 
 
+def file_to_write(path: str) -> tuple[pafs.FileSystem, str]:
+    """As ``file_system``, with the folder of a local file made: a task may be the first to write there."""
+    fs, p = file_system(path)
+    if isinstance(fs, pafs.LocalFileSystem):
+        fs.create_dir(os.path.dirname(p), recursive=True)
+    return fs, p
+
+
 def file_size(path: str) -> int:
     fs, p = file_system(path)
     return fs.get_file_info(p).size
@@ -139,7 +147,7 @@ class _Writer(DataSourceWriter):
         from pyspark import TaskContext
 
         part = f"{self.path}.part-{TaskContext.get().partitionId():06d}"
-        fs, p = file_system(part)
+        fs, p = file_to_write(part)
         n = 0
         with fs.open_output_stream(p) as f:
             for row in rows:
@@ -153,7 +161,7 @@ class _Writer(DataSourceWriter):
         return _Done(part, n)
 
     def commit(self, messages: list[_Done]) -> None:
-        fs, p = file_system(self.path)
+        fs, p = file_to_write(self.path)
         parts = sorted((m.path, m.rows) for m in messages if m and m.rows)
         with fs.open_output_stream(p) as out:
             dim = None
