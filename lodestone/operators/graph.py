@@ -22,10 +22,13 @@ MOST_CANDIDATES = 750
 
 
 def knn_edges(base: DataFrame, k: int = 8) -> DataFrame:
-    """(src, dst, ord, distance): every row's exact k nearest others."""
+    """(src, dst, ord, distance): every row's exact k nearest others.
+
+    The edges are found once and stored below the checkpoint folder, as what is built on them reads them many times.
+    """
     queries = base.select(F.col("id").alias("qid"), F.col("vec").alias("query"))
     found = knn(base, queries, k, exclude_self=True)
-    return found.select(F.col("qid").alias("src"), F.col("id").alias("dst"), F.col("rank").alias("ord"), "distance")
+    return cut(found.select(F.col("qid").alias("src"), F.col("id").alias("dst"), F.col("rank").alias("ord"), "distance"))
 
 
 def undirected(edges: DataFrame) -> DataFrame:

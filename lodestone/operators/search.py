@@ -22,6 +22,8 @@ from ..functions.vectors import Metric, exact, rough
 DIGITS = 6
 #: Bytes of query vectors that are broadcast at once.
 QUERY_BYTES = 32 << 20
+#: Queries whose distances to a batch of rows are held at once.
+TILE = 256
 #: How far apart the matrix product and the exact distance may be, relative to the vectors' scale.
 SLACK = 1e-6
 
@@ -35,6 +37,11 @@ def matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1)
 
 
+def marked(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of what is true; by flat places, which is much faster than ``np.nonzero`` where little is."""
+    return np.divmod(np.flatnonzero(mask), max(1, mask.shape[1]))
+
+
 def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, vectors) in blocks of about QUERY_BYTES; a block is on the driver until it is broadcast."""
     queries = queries.select(F.col("qid").cast("long").alias("qid"), F.col("query").cast("array<double>").alias("query")).where("query is not null")
@@ -70,11 +77,15 @@ def scored(base: DataFrame, queries: DataFrame, metric: str | Metric, marker, fa
                     continue
                 own, m = b.column(0).to_numpy(), matrix(b.column(1))
                 f, g = b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
-                for lo in range(0, len(q), 256):
-                    d = rough(metric, q[lo : lo + 256], m) * f
+                for lo in range(0, len(q), TILE):
+                    d = rough(metric, q[lo : lo + TILE], m) * f
                     if exclude_self:
-                        d[qids[lo : lo + 256, None] == own] = np.nan
-                    i, j = np.nonzero(keep(lo, d, g) & ~np.isnan(d))
+                        same = np.flatnonzero(np.isin(own, qids[lo : lo + TILE]))
+                        i, j = np.nonzero(qids[lo : lo + TILE, None] == own[same])
+                        d[i, same[j]] = np.nan
+                    i, j = marked(keep(lo, d, g))
+                    real = ~np.isnan(d[i, j])
+                    i, j = i[real], j[real]
                     if len(i):
                         real = exact(metric, q[lo + i], m[j]) * f[j]
                         yield pa.RecordBatch.from_arrays([pa.array(qids[lo + i]), pa.array(own[j]), pa.array(real), pa.array(g[j].astype(np.int64))], ["qid", "id", "distance", "grp"])
@@ -89,8 +100,9 @@ def scored(base: DataFrame, queries: DataFrame, metric: str | Metric, marker, fa
 class Nearest:
     """Marks what may be among each query's k nearest, given all that a task has seen so far.
 
-    Holds k distances for each query (and group), so a task sends about k (1 + ln of its
-    batches) rows for a query, not k for each batch. All that may tie with the last are marked.
+    Holds k distances for each query (and group), and nothing else of what it has seen, so a task
+    sends about k (1 + ln of its batches) rows for a query, not k for each batch. All that may tie
+    with the last are marked; NaN never is.
     """
 
     def __init__(self, k: int):
@@ -98,14 +110,30 @@ class Nearest:
 
     def __call__(self, key, d: np.ndarray) -> np.ndarray:
         """d: queries x rows; key: of the queries (and group) that the rows of d are for."""
-        full = np.where(np.isnan(d), np.inf, d)
-        both = np.concatenate((self.best[key], full), 1) if key in self.best else full
-        if both.shape[1] <= self.k:
-            self.best[key] = both
-            return np.ones(d.shape, bool)
-        self.best[key] = np.partition(both, self.k - 1, axis=1)[:, : self.k]
-        last = self.best[key].max(1, keepdims=True)
-        return full <= last + 2 * 10.0**-DIGITS + SLACK * np.abs(last)
+        if key not in self.best:
+            self.best[key] = np.full((len(d), self.k), np.inf)
+            self._add(key, np.where(np.isnan(d), np.inf, d))
+            i, j = marked(d <= self._limit(key)[:, None])
+        else:
+            i, j = marked(d <= self._limit(key)[:, None])
+            if len(i):
+                number = np.bincount(i, minlength=len(d))
+                some = np.full((len(d), number.max()), np.inf)
+                some[i, np.arange(len(i)) - (np.cumsum(number) - number)[i]] = d[i, j]
+                self._add(key, some)
+        near = d[i, j] <= self._limit(key)[i]
+        mark = np.zeros(d.shape, bool)
+        mark[i[near], j[near]] = True
+        return mark
+
+    def _add(self, key, d: np.ndarray) -> None:
+        both = np.concatenate((self.best[key], d), 1)
+        # A slice alone would keep the whole array alive.
+        self.best[key] = np.partition(both, self.k - 1, axis=1)[:, : self.k].copy()
+
+    def _limit(self, key) -> np.ndarray:
+        last = self.best[key].max(1)
+        return last + 2 * 10.0**-DIGITS + SLACK * np.abs(last)
 
 
 def top(pairs: DataFrame, k: int, by: str = "qid") -> DataFrame:
@@ -267,11 +295,12 @@ def multivector(base: DataFrame, queries: DataFrame, how: str = "chamfer", k: in
                 order = np.argsort(doc, kind="stable")
                 doc, m = doc[order], m[order]
                 new = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1))
-                d = rough(metric, q, m)
-                low, total = np.minimum.reduceat(d, new, axis=1), np.add.reduceat(d, new, axis=1)
                 n = np.diff(np.append(new, len(doc)))
-                shape = (len(q), len(new))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(owner, shape[1]).astype(np.int64)), pa.array(np.repeat(pos, shape[1]).astype(np.int64)), pa.array(np.tile(doc[new], shape[0])), pa.array(low.ravel()), pa.array(total.ravel()), pa.array(np.tile(n, shape[0]).astype(np.int64))], ["qid", "qpos", "doc", "low", "total", "n"])
+                for lo in range(0, len(q), TILE):
+                    d = rough(metric, q[lo : lo + TILE], m)
+                    low, total = np.minimum.reduceat(d, new, axis=1), np.add.reduceat(d, new, axis=1)
+                    shape = low.shape
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(owner[lo : lo + TILE], shape[1]).astype(np.int64)), pa.array(np.repeat(pos[lo : lo + TILE], shape[1]).astype(np.int64)), pa.array(np.tile(doc[new], shape[0])), pa.array(low.ravel()), pa.array(total.ravel()), pa.array(np.tile(n, shape[0]).astype(np.int64))], ["qid", "qpos", "doc", "low", "total", "n"])
 
         part = rows.mapInArrow(run, "qid long, qpos long, doc long, low double, total double, n long")
         parts = part if parts is None else parts.unionByName(part)
