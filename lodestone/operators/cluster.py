@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.vectors import Metric, exact, l2_norm, rough, squared_l2, unit_rows
-from .search import DIGITS, Nearest, knn, matrix, query_blocks, top
+from .search import DIGITS, TILE, Nearest, knn, marked, matrix, query_blocks, top
 
 
 def mean_vector(base: DataFrame) -> np.ndarray:
@@ -167,9 +167,11 @@ def probe(partitions: DataFrame, pivots: DataFrame, queries: DataFrame, k: int =
             for b in batches:
                 own, m, shard = b.column(0).to_numpy(), matrix(b.column(1)), b.column(2).to_numpy()
                 for s in np.unique(shard).tolist():
-                    q, at = wanted[s], np.flatnonzero(shard == s)
-                    i, j = np.nonzero(keep(s, rough(metric, vectors[q], m[at])))
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[q][i]), pa.array(own[at][j]), pa.array(exact(metric, vectors[q][i], m[at][j]))], ["qid", "id", "distance"])
+                    at = np.flatnonzero(shard == s)
+                    for lo in range(0, len(wanted[s]), TILE):
+                        q = wanted[s][lo : lo + TILE]
+                        i, j = marked(keep((s, lo), rough(metric, vectors[q], m[at])))
+                        yield pa.RecordBatch.from_arrays([pa.array(qids[q][i]), pa.array(own[at][j]), pa.array(exact(metric, vectors[q][i], m[at][j]))], ["qid", "id", "distance"])
 
         hit = partitions.where(F.col("shard").isin(list(wanted))).select(F.col("id").cast("long").alias("id"), "vec", F.col("shard").cast("long").alias("shard"))
         out = out.unionByName(hit.mapInArrow(run, "qid long, id long, distance double").where(~F.isnan("distance")))

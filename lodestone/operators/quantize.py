@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import Metric, doubles, unit_rows
-from .search import DIGITS, Nearest, matrix, query_blocks, top
+from .search import DIGITS, TILE, Nearest, marked, matrix, query_blocks, top
 
 
 def dimension_stats(base: DataFrame) -> DataFrame:
@@ -146,9 +146,20 @@ def train_codebook(sample: np.ndarray, offsets: list[int], centroids: int = 256,
 
 
 def nearest_rows(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """The nearest centroid of each row by differences, the first of equal ones."""
-    d = np.stack([np.einsum("ij,ij->i", rows - c, rows - c) for c in centroids], 1)
-    return np.round(d, 12).argmin(1)
+    """The nearest centroid of each row by differences, the first of equal ones.
+
+    One product chooses; rows that it leaves open, as two centroids are about as near, are decided by differences.
+    """
+    size = (centroids**2).sum(1)
+    d = size - 2 * (rows @ centroids.T)
+    out = d.argmin(1)
+    least = d[np.arange(len(d)), out]
+    pad = 1e-9 * (1 + (rows**2).sum(1) + size.max(initial=0))
+    open_ = np.flatnonzero(np.count_nonzero(d <= (least + pad)[:, None], axis=1) != 1)
+    if len(open_):
+        some = rows[open_]
+        out[open_] = np.round(np.stack([np.einsum("ij,ij->i", some - c, some - c) for c in centroids], 1), 12).argmin(1)
+    return out
 
 
 def encode(base: DataFrame, codebook: list[np.ndarray], offsets: list[int]) -> DataFrame:
@@ -212,38 +223,42 @@ def decode(codes: DataFrame, codebook: list[np.ndarray]) -> DataFrame:
 def adc_knn(codes: DataFrame, queries: DataFrame, codebook: list[np.ndarray], offsets: list[int], k: int = 10, metric: str = "l2") -> DataFrame:
     """Nearest by table lookups: a query's term with every centroid, summed over each code.
 
+    Tables are made in the tasks, for a tile of queries at a time; only the queries are broadcast.
+
     The distance is the metric's between the query and the decoded vector. Products need one table;
     cosine also the centroids' squared norms; a zero vector's cosine is in no result.
     """
     spark, metric = codes.sparkSession, Metric.parse(metric)
     out = spark.createDataFrame([], "qid long, id long, distance double")
     norms = [(c**2).sum(1) for c in codebook]
-    for ids, vectors in query_blocks(queries):
-        tables = []
-        for a, z, c in zip(offsets[:-1], offsets[1:], codebook):
-            q = vectors[:, a:z]
-            tables.append(((q[:, None, :] - c[None, :, :]) ** 2).sum(2) if metric in (Metric.L2, Metric.FULL_L2) else q @ c.T)
-        sent = spark.sparkContext.broadcast((ids, np.sqrt((vectors**2).sum(1)), tables))
+    for block in query_blocks(queries):
+        sent = spark.sparkContext.broadcast((*block, codebook))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qids, size, luts = sent.value
+            qids, vectors, book = sent.value
             keep = Nearest(k)
             for b in batches:
                 if not b.num_rows:
                     continue
                 own, m = b.column(0).to_numpy(), matrix(b.column(1)).astype(int)
-                d = sum(t[:, m[:, i]] for i, t in enumerate(luts))
-                if metric is Metric.FULL_L2:
-                    d = np.sqrt(d)
-                elif metric is Metric.INNER_PRODUCT:
-                    d = -d
-                elif metric is Metric.COSINE_NORMALIZED:
-                    d = 1 - d
-                elif metric is Metric.COSINE:
-                    both = size[:, None] * np.sqrt(sum(x[m[:, i]] for i, x in enumerate(norms)))
-                    d = 1 - d / np.where(both > 0, both, np.nan)
-                i, j = np.nonzero(keep(0, d) & ~np.isnan(d))
-                yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(own[j]), pa.array(d[i, j])], ["qid", "id", "distance"])
+                length = np.sqrt(sum(x[m[:, i]] for i, x in enumerate(norms)))
+                for lo in range(0, len(qids), TILE):
+                    q = vectors[lo : lo + TILE]
+                    d = np.zeros((len(q), len(m)))
+                    for x, (a, z, c) in enumerate(zip(offsets[:-1], offsets[1:], book)):
+                        table = ((q[:, None, a:z] - c) ** 2).sum(2) if metric in (Metric.L2, Metric.FULL_L2) else q[:, a:z] @ c.T
+                        d += table[:, m[:, x]]
+                    if metric is Metric.FULL_L2:
+                        d = np.sqrt(d)
+                    elif metric is Metric.INNER_PRODUCT:
+                        d = -d
+                    elif metric is Metric.COSINE_NORMALIZED:
+                        d = 1 - d
+                    elif metric is Metric.COSINE:
+                        both = np.sqrt((q**2).sum(1))[:, None] * length
+                        d = 1 - d / np.where(both > 0, both, np.nan)
+                    i, j = marked(keep(lo, d))
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[lo + i]), pa.array(own[j]), pa.array(d[i, j])], ["qid", "id", "distance"])
 
         part = codes.select("id", "code").mapInArrow(run, "qid long, id long, distance double").withColumn("distance", F.round("distance", DIGITS) + F.lit(0.0))
         out = out.unionByName(part)
@@ -448,19 +463,21 @@ def spherical_knn(codes: DataFrame, queries: DataFrame, mean: np.ndarray, bits:
             for b in batches:
                 if not b.num_rows:
                     continue
-                point = (2 * matrix(b.column(1)) + 1 - levels) / levels
+                ids, point = b.column(0).to_numpy(), (2 * matrix(b.column(1)) + 1 - levels) / levels
                 norm, scale = b.column(2).to_numpy(), b.column(3).to_numpy()
                 length = norm * scale
-                cross = (turned @ point.T) * length  # of centred query and centred row
-                if metric in (Metric.L2, Metric.FULL_L2):
-                    d = np.maximum((turned**2).sum(1)[:, None] + norm**2 - 2 * cross, 0)
-                    d = np.sqrt(d) if metric is Metric.FULL_L2 else d
-                else:
-                    # <q, x> = <q - m, x - m> + <q, m> + <m, x> - <m, m>
-                    product = cross + (own @ mean)[:, None] + (point @ spin) * length
-                    d = -product if metric is Metric.INNER_PRODUCT else 1 - product
-                i, j = np.nonzero(keep(0, d))
-                yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(b.column(0).to_numpy()[j]), pa.array(d[i, j])], ["qid", "id", "distance"])
+                for lo in range(0, len(qids), TILE):
+                    some = turned[lo : lo + TILE]
+                    cross = (some @ point.T) * length  # of centred query and centred row
+                    if metric in (Metric.L2, Metric.FULL_L2):
+                        d = np.maximum((some**2).sum(1)[:, None] + norm**2 - 2 * cross, 0)
+                        d = np.sqrt(d) if metric is Metric.FULL_L2 else d
+                    else:
+                        # <q, x> = <q - m, x - m> + <q, m> + <m, x> - <m, m>
+                        product = cross + (own[lo : lo + TILE] @ mean)[:, None] + (point @ spin) * length
+                        d = -product if metric is Metric.INNER_PRODUCT else 1 - product
+                    i, j = marked(keep(lo, d))
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[lo + i]), pa.array(ids[j]), pa.array(d[i, j])], ["qid", "id", "distance"])
 
         part = codes.select("id", F.col("code").cast("array<double>").alias("code"), "norm", "scale").mapInArrow(run, "qid long, id long, distance double")
         out = out.unionByName(part.withColumn("distance", F.round("distance", DIGITS) + F.lit(0.0)))
