@@ -308,6 +308,42 @@ def reranked_knn(base: DataFrame, codes: DataFrame, queries: DataFrame, codebook
     return top(pairs.where("distance is not null"), k).select("qid", "id", "rank", "distance")
 
 
+def rerank_depth(base: DataFrame, codes: DataFrame, queries: DataFrame, codebook: list[np.ndarray], offsets: list[int], k: int = 10, share: float = 0.95, probes: int = 64) -> int:
+    """How many rows by codes (squared L2) hold ``share`` of the exact k nearest: seen on ``probes`` of the queries, drawn by
+    a hash, against all rows. A fixed depth finds ever less as rows are added, this one grows with them.
+
+    Two passes over the table; a task sends a count for each probe and neighbour.
+    """
+    spark = codes.sparkSession
+    some = queries.select(F.col("qid").cast("long").alias("qid"), F.col("query").cast("array<double>").alias("query")).where("query is not null").orderBy(F.xxhash64("qid"), "qid").limit(probes).collect()
+    if not some:
+        return k
+    from .search import knn
+
+    asked = spark.createDataFrame([(r.qid, r["query"]) for r in some], "qid long, query array<double>")
+    at = {r.qid: i for i, r in enumerate(some)}
+    q = np.array([r["query"] for r in some])
+    near = codes.join(F.broadcast(knn(base, asked, k).select("qid", "id")), "id").select("qid", "code").collect()  # k rows for each probe
+    own = np.array([at[r.qid] for r in near], np.int64)
+    back = np.concatenate([c[np.array([r.code[i] for r in near], np.int64)] for i, c in enumerate(codebook)], 1)
+    gap = ((q[own] - back) ** 2).sum(1) + 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(own), np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m, d = matrix(b.column(0)).astype(int), 0
+            for x, (a, z, c) in enumerate(zip(offsets[:-1], offsets[1:], codebook)):
+                d = d + ((q[:, None, a:z] - c) ** 2).sum(2)[:, m[:, x]]
+            d.sort(1)
+            n += [np.searchsorted(d[i], g, "right") for i, g in zip(own, gap)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["pair", "n"])
+
+    counts = codes.select("code").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    return max(k, int(np.quantile([r.n for r in counts], share, method="higher"))) if counts else k
+
+
 def save_codebook(spark: SparkSession, codebook: list[np.ndarray], path: str, version: int = 0) -> None:
     """A codebook as a table (version, chunk, code, centroid); versions are folders of one table."""
     rows = [(chunk, code, [float(x) for x in c]) for chunk, book in enumerate(codebook) for code, c in enumerate(book)]

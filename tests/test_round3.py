@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lodestone.functions.vectors import Metric
-from lodestone.operators import cluster, index, quantize, search
+from lodestone.operators import cluster, evaluate, index, quantize, search
 from lodestone.operators.index import Part
 from lodestone.sources import files
 
@@ -163,3 +163,18 @@ def test_small_parts_are_built_by_tasks_of_their_own(spark, tmp_path):
     built = index.GraphIndex.build(rows, f"file://{tmp_path}/index", part_rows=20)
     files_ = built.nodes.select(F.input_file_name().alias("f"), "part").groupBy("f").count()
     assert files_.count() > 8 and files_.agg(F.max("count")).first()[0] < 8
+
+
+def test_depth_of_reranking_grows_with_the_rows(spark):
+    """Coarse codes: eighty rows by codes hold too few of the ten nearest; the depth that is found holds most."""
+    m, rows = random_rows(spark, 3000, 8, seed=8)
+    book, offsets = quantize.train_codebook(m[:400].astype(float), [0, 4, 8], 8), [0, 4, 8]
+    codes = quantize.encode(rows, book, offsets)
+    asked = rows.where("id < 60").select(F.col("id").alias("qid"), F.col("vec").alias("query"))
+    truth = search.knn(rows, asked, 10)
+
+    def recall(multiple):
+        return evaluate.recall(quantize.reranked_knn(rows, codes, asked, book, offsets, 10, multiple), truth, 10).first()[0]
+
+    depth = quantize.rerank_depth(rows, codes, asked, book, offsets, 10)
+    assert recall(8) < 0.9 <= recall(-(-depth // 10)) and depth < 3000
